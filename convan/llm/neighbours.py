@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from convan.llm.common import saved
 
-SAMPLE, TARGET, BLOCK, SMALL = 4_096, 0.985, 4_096, 1_000
+SAMPLE, TARGET, BLOCK, SMALL = 4_096, 0.95, 4_096, 1_000
 GRAPH, HIDDEN, EPOCHS, SEED = 10, 64, 60, 9
 
 
