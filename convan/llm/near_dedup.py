@@ -1,17 +1,19 @@
 """MinHash near-dedup with odd sketches.
 
-1. Every text becomes its set of distinct word shingles (64-bit hashes), 128 MinHash values in 32 bands of 4, and an odd
-   sketch: each MinHash value flips one of 512 bits, so the XOR of two sketches has about 256 (1 - exp(J - 1)) bits that are set.
+1. Every text becomes its set of distinct word shingles (64-bit hashes), 128 MinHash values in 32 bands of 4, and two odd
+   sketches. In the first each MinHash value flips one of 512 bits, so the XOR of two sketches has about
+   256 (1 - exp(J - 1)) bits that are set, whatever the sets' sizes. In the second each shingle flips one of 1,024 bits:
+   for sets that are not much larger than that, XOR counts their differences nearly exactly.
    Texts with equal sets are one class; only its smallest id goes on.
 2. Classes that share a band key are candidates. Each is held against the smallest id of its buckets (one row for each
-   member, never all pairs of a bucket); the XOR count drops pairs that are surely below the threshold; of what is left
-   the best pair of each class is confirmed on the full sets.
-3. Components of the confirmed links. In buckets that still hold several components, members outside the bucket's
-   largest component meet all members of other components, again behind the XOR count, and the pairs are confirmed.
-   So no pair of one bucket that could join two components is left out, and a large group of near copies costs a
-   multiple of its size.
-
-A pair at the threshold of 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the XOR cut lies 5 standard
+   member, never all pairs of a bucket); the XOR counts and the sizes drop pairs that are surely below the threshold; of
+   what is left the best pair of each class is confirmed on the full sets.
+3. Following these links gives every class a label that it is connected with. In buckets that still hold several labels,
+   classes without a link are held against three other members with the bucket's most frequent label. After that, members without the bucket's most frequent label meet all members with other labels, again behind the XOR counts, and
+   those pairs are confirmed too. So no pair of one bucket that could join two components is left out, and a large group
+   of near copies costs a multiple of its size. Components of all confirmed links are the result.
+
+A pair at the threshold of 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the XOR cuts lie 5 standard
 deviations below the threshold.
 
 Defined cases: null texts and texts without words have no shingles and stay alone; shorter texts than k words have one
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from convan.llm.common import mixed, saved, span_hashes, spread
 from convan.llm.components import components
 
-WORDS, BANDS, ROWS, BITS = 5, 32, 4, 512
+WORDS, BANDS, ROWS, BITS, SET_BITS = 5, 32, 4, 512, 1024
+STEP, SUMS = 16, 256  # the cuts by the sum of two sets' sizes; beyond the last the cut lets everything pass
 _rng = np.random.default_rng(3)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None]
@@ -72,12 +75,50 @@ def odd_sketch(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def set_sketch(shingles: np.ndarray, bits: int = SET_BITS) -> np.ndarray:
+    """The parity bitmap of the whole set, as 64-bit words."""
+    odd = np.bincount((mixed(shingles + _MIX[4, 0]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def most_bits(threshold: float, bits: int = BITS, samples: int = BANDS * ROWS, deviations: float = 5) -> int:
     """The XOR count beyond which the similarity lies below the threshold by that many standard deviations."""
     low = threshold - deviations * math.sqrt(threshold * (1 - threshold) / samples + 0.02**2)
     return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - max(low, 0)) / bits)))
 
 
+def _most_set_bits(both: int, threshold: float) -> int:
+    """The XOR count of whole-set sketches, expectation + 5 deviations, of sets with so many elements together."""
+    x = both * (1 - threshold) / (1 + threshold) / SET_BITS  # differences at the threshold, per bit
+    spread_ = math.sqrt(max(SET_BITS / 4 * (1 - math.exp(-4 * x)) - SET_BITS * x * math.exp(-4 * x), 0))
+    return math.ceil(SET_BITS / 2 * (1 - math.exp(-2 * x)) + 5 * spread_ + 2)
+
+
+def _close(a: str, b: str, threshold: float) -> Column:
+    """Whether sizes and sketches of the structs a and b allow the threshold, by expectation + 5 deviations of XOR counts."""
+    sizes = F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n") - 1e-6
+    return sizes & (_apart(f"{a}.bits", f"{b}.bits", BITS) <= most_bits(threshold)) & (_apart(f"{a}.set_bits", f"{b}.set_bits", SET_BITS) <= _cut(a, b, threshold))
+
+
+def _cut(a: str, b: str, threshold: float) -> Column:
+    cuts = [_most_set_bits(STEP * (i + 1), threshold) for i in range(SUMS)]
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return F.get(F.array(*map(F.lit, cuts)), F.least(F.ceil(both / STEP).cast("int") - 1, F.lit(SUMS - 1)))
+
+
+def _one_sketch() -> Column:
+    """The sketch that fits a set's size, for joins: of the whole set, or of its MinHash values for large sets."""
+    zeros = F.array(*[F.lit(0).cast("long")] * ((SET_BITS - BITS) // 64))
+    return F.struct("s.n", F.when(F.col("s.n") <= SET_BITS, F.col("s.set_bits")).otherwise(F.concat("s.bits", zeros)).alias("q"), (F.col("s.n") > SET_BITS).alias("large"))
+
+
+def _close_by_one(a: str, b: str, threshold: float) -> Column:
+    """_close by one sketch: few enough operations for Spark to compile the join condition."""
+    sizes = F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n") - 1e-6
+    cut = F.when(F.col(f"{a}.large") != F.col(f"{b}.large"), F.lit(SET_BITS)).when(F.col(f"{a}.large"), F.lit(most_bits(threshold))).otherwise(_cut(a, b, threshold))
+    return sizes & (_apart(f"{a}.q", f"{b}.q", SET_BITS) <= cut)
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,19 +126,30 @@ def _sketches(k: int):
             for i, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
                 s = shingle_set(text, k)
                 if not len(s):
-                    rows.append((i, 0, 0, 0, None, None))
+                    rows.append((i, 0, 0, 0, None, None, None))
                     continue
                 m = min_hashes(s)
                 bands = mixed((m.reshape(BANDS, ROWS) * _MIX[0, :ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64))
-                rows.append((i, len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mixed(s + _MIX[3, 0])).view(np.int64)), bands.view(np.int64), odd_sketch(m).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "bands", "bits"]).astype({"id": "Int64"})
+                rows.append((i, len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mixed(s + _MIX[3, 0])).view(np.int64)), bands.view(np.int64), odd_sketch(m).view(np.int64), set_sketch(s).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "bands", "bits", "set_bits"]).astype({"id": "Int64"})
 
     return run
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: str, b: str, bits: int) -> Column:
     """The number of bits in which two sketches differ."""
-    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITS // 64)))
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)))
+
+
+def _distance() -> Column:
+    """Smaller for more similar sets, from the sketches of sa and sb: by their differences, or by MinHash for large sets."""
+    both = F.col("sa.n") + F.col("sb.n")
+    return F.when(both <= 3 * SET_BITS, _apart("sa.set_bits", "sb.set_bits", SET_BITS) / both).otherwise(_apart("sa.bits", "sb.bits", BITS) / (2.0 * BITS))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Each a with the b that looks most similar."""
+    return pairs.groupBy("a").agg(F.min_by("b", F.struct(_distance(), F.col("b"))).alias("b"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -122,35 +174,52 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, k: int = WORDS) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable), kept."""
-    most = most_bits(threshold)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = saved(spread(source, "id").mapInPandas(_sketches(k), "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>"), "sketches")
+    sketched = saved(spread(source, "id").mapInPandas(_sketches(k), "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>, set_bits array<long>"), "sketches")
     key = ["n", "s1", "s2"]
     classes = sketched.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
-    rep = saved(sketched.where("n > 0").join(classes.hint("merge"), key).where("id = rep").select("id", "bands", "bits").dropDuplicates(["id"]), "classes")
-    rows = rep.select("id", F.explode("bands").alias("band"))
+    rep = sketched.where("n > 0").join(classes.hint("merge"), key).where("id = rep").select("id", "bands", F.struct("n", "bits", "set_bits").alias("s")).dropDuplicates(["id"])
+    rep = saved(rep, "classes")
+    sketch = lambda i: rep.select(F.col("id").alias(i), F.col("s").alias(f"s{i}"))
+    rows = rep.select("id", F.posexplode("bands").alias("i", "band"))
     buckets = rows.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1").select("band", "b")
-    shared = saved(rows.join(buckets.hint("merge"), "band").select("band", "id", "b"), "buckets")
-    bits = lambda i: rep.select(F.col("id").alias(i), F.col("bits").alias(f"bits_{i}"))
+    shared = saved(rows.join(buckets.hint("merge"), "band").select("band", "i", "id", "b"), "buckets")
     stars = shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    stars = saved(stars.join(bits("b").hint("merge"), "b").join(bits("a").hint("merge"), "a").withColumn("apart", _apart("bits_a", "bits_b")).where(F.col("apart") <= most).select("a", "b", "apart"), "stars")
+    stars = stars.join(sketch("b").hint("merge"), "b").join(sketch("a").hint("merge"), "a").where(_close("sa", "sb", threshold))
+    first = saved(_nearest(stars), "first")
     texts = source.where("id is not null")
-    first = stars.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     links = saved(_confirm(first, texts, threshold, k), "links")
-    groups = components(links)
-    # Buckets that still hold several components.
-    named = shared.select("band", "id").join(groups.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    named = saved(named, "named")
+    # Every class's link leads to a smaller id: following it twice, and that twice, labels classes that are connected.
+    label = links
+    for _ in range(2):
+        step = label.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        label = label.join(step.hint("merge"), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+    label = saved(label.select(F.col("a").alias("id"), F.col("b").alias("c")), "labels")
+    # Buckets that hold several labels.
+    named = saved(shared.select("band", "i", "id").join(label.hint("merge"), "id", "left").select("band", "i", "id", F.coalesce("c", "id").alias("c")), "named")
     parts = named.groupBy("band", "c").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
-    mixed_buckets = named.join(parts.hint("merge"), "band").join(rep.select("id", "bits").hint("merge"), "id")
-    mixed_buckets = saved(mixed_buckets.select("band", "id", "c", "bits", (F.col("c") == F.col("main")).alias("of_main")), "mixed")
-    left = mixed_buckets.where("not of_main").select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("bits").alias("bits_a"))
-    right = mixed_buckets.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("bits").alias("bits_b"), "of_main")
-    meet = (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & (_apart("bits_a", "bits_b") <= most)
-    more = left.join(right.hint("merge"), (left["band"] == right["band"]) & meet).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-    more = saved(more.join(first.hint("merge"), ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(_confirm(more, texts, threshold, k))
-    groups = saved(components(links), "components")
+    parts = saved(parts, "parts")
+    several = named.join(parts.hint("merge"), "band").join(rep.select("id", "s", "bands").hint("merge"), "id")
+    # The bands before this one: a pair is taken in the first of the bands that it shares, and nowhere else.
+    several = saved(several.select("band", "id", "c", "s", F.slice("bands", 1, F.col("i")).alias("earlier"), (F.col("c") == F.col("main")).alias("of_main")), "several")
+    # Classes without a link meet three other members of each bucket's main label, picked by hash: most find theirs here.
+    picks = [F.min_by(F.struct("id", "c", "s"), F.xxhash64("id", F.lit(i))) for i in range(3)]
+    centres = several.where("of_main").groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("m")).select("band", F.explode("m").alias("m")).select("band", F.col("m.id").alias("b"), F.col("m.c").alias("cb"), F.col("m.s").alias("sb"))
+    alone = several.where("not of_main and id = c").select("band", F.col("id").alias("a"), F.col("s").alias("sa"))
+    second = alone.join(centres.hint("merge"), "band").where(_close("sa", "sb", threshold))
+    second = saved(second.groupBy("a").agg(F.min_by(F.struct("b", "cb"), F.struct(_distance(), F.col("b"))).alias("m")).select("a", "m.b", "m.cb"), "second")
+    joined = saved(_confirm(second, texts, threshold, k), "joined")
+    relabel = joined.join(second.hint("merge"), ["a", "b"]).select(F.col("a").alias("id"), F.col("cb").alias("new_c"))
+    several = several.drop("of_main").join(relabel.hint("merge"), "id", "left").select("band", "id", F.coalesce("new_c", "c").alias("c"), "s", "earlier").join(parts.hint("merge"), "band")
+    several = saved(several.select("band", "id", "c", _one_sketch().alias("s"), "earlier", (F.col("c") == F.col("main")).alias("of_main")), "several")
+    # What is left: every member with another label than the bucket's main one meets all members with other labels.
+    left = several.where("not of_main").select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("earlier").alias("ea"))
+    right = several.select(F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("earlier").alias("eb"), "of_main")
+    meet = (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & _close_by_one("sa", "sb", threshold) & ~F.arrays_overlap("ea", "eb")
+    more = left.join(right.hint("merge"), (F.col("band") == F.col("band_b")) & meet).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
+    seen = first.select("a", "b").unionByName(second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    more = saved(more.join(seen.hint("merge"), ["a", "b"], "left_anti"), "more")
+    groups = saved(components(links.unionByName(joined).unionByName(_confirm(more, texts, threshold, k))), "components")
     named_classes = classes.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("c"))
     found = sketched.select("id", *key).where("n > 0").join(named_classes.hint("merge"), key, "left").select("id", "n", F.coalesce("c", "id").alias("c"))
     out = found.unionByName(sketched.where("n = 0").select("id", "n", F.col("id").alias("c")))
