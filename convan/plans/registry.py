@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "grounding"
-MODULES: list[str] = []
+MODULES = ["convan.operators.threads", "convan.operators.sampling", "convan.operators.text", "convan.operators.evaluation"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
