@@ -15,6 +15,7 @@ are packed each; texts of any length are tokenised whole; an empty table packs i
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -33,6 +34,9 @@ SIZE, END_ID = 4096, 1
 CELL_ROWS = 100_000
 _NO_BLANKS = re.compile("[\x1c-\x1f]")  # blanks for Arrow, not for the tokenizer
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters that one code point stands for in either case, then signs other than those of contractions and special tokens.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\[-`{-~]*)")
+CACHE_WORDS = 300_000  # words, and parts of words, whose ids a worker keeps
 _WORKER: dict = {}
 
 
@@ -40,12 +44,21 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins words across blanks, word by word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for work burn it
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordIds(self._new)
+        self.words, self.parts = WordIds(self._new, CACHE_WORDS), WordIds(self._encoded, CACHE_WORDS)
 
     def _new(self, words: list[str]) -> list[bytes]:
+        """A plain word is its letters in lower case and the signs after them, which the tokenizer keeps apart too."""
+        split = [m.groups() if (m := _PLAIN.fullmatch(w)) else None for w in words]
+        letters = [(w if s is None else s[0].lower(), "" if s is None else s[1]) for w, s in zip(words, split, strict=True)]
+        distinct = list({x for pair in letters for x in pair if x})
+        ids = dict(zip(distinct, self.parts.of(distinct), strict=True)) | {"": b""}
+        return [ids[a] + ids[b] for a, b in letters]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
