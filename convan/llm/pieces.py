@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from convan.llm.common import WordIds
 
 BLANK = "▁"
-CACHE_PAIRS = 4_000_000  # tested pairs that a worker keeps, at most
+CACHE_PAIRS = 1_000_000  # tested pairs that a worker keeps, at most
 LONG = 500  # letters of a word beyond which it is merged directly
-LETTERS = 1_000_000  # of new words, indexed at once
+LETTERS = 300_000  # of new words, indexed at once
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _WORKER: dict = {}
 
@@ -91,7 +91,7 @@ class PieceCoder:
         for row, i in enumerate(normal):
             self.codes[row, : self.sizes[row]] = [ord(c) for c in self.text[i]]
         self.base = len(self.text)  # base + code point: a letter that is no piece
-        self.words = WordIds(self._new, 600_000)
+        self.words = WordIds(self._new, 300_000)
         self.pairs_key, self.pairs_ok = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def letters(self, token: int) -> str:
