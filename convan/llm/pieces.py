@@ -84,6 +84,9 @@ class PieceCoder:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.hidden = {i for i, p in enumerate(model.pieces) if p.type in (2, 3)}
+        self.shown = ["" if i in self.hidden else t for i, t in enumerate(self.text)]
+        self.is_byte = np.zeros(len(self.text), bool)
+        self.is_byte[list(self.byte_of)] = True
         self.ids = np.array(normal, np.int64)
         self.sizes = np.array([len(self.text[i]) for i in normal])
         self.longest = int(self.sizes.max())
@@ -244,8 +247,11 @@ class PieceCoder:
         """The text of ids as encode() gives them; bytes that are no UTF-8 become the replacement sign."""
         if data is None:
             return None
+        ids = np.frombuffer(data, "<u4")
+        if not self.is_byte[ids].any():
+            return self._plain("".join(map(self.shown.__getitem__, ids.tolist())))
         out, raw = [], bytearray()
-        for i in np.frombuffer(data, "<u4").tolist():
+        for i in ids.tolist():
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
                 continue
@@ -255,7 +261,11 @@ class PieceCoder:
             if i not in self.hidden:
                 out.append(self.text[i])
         out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(BLANK, " ")
+        return self._plain("".join(out))
+
+    @staticmethod
+    def _plain(joined: str) -> str:
+        text = joined.replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
