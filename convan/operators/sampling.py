@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convan.functions.scratch import ranked
 from convan.plans import bindings as B
 
 
@@ -13,24 +14,26 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 
 
 def _rank(df: DataFrame, id_col: str, cls: str, seed: int) -> DataFrame:
-    return df.withColumn("u", B.uniform(id_col, seed)).withColumn("k", F.row_number().over(Window.partitionBy(cls).orderBy("u", id_col)))
+    """Rows numbered at random within their class; a class that holds most rows is numbered by many tasks."""
+    return ranked(df.withColumn("u", B.uniform(id_col, seed)), [F.col("u"), F.col(id_col)], (cls,), "k")
 
 
 def sample_stratified(df: DataFrame, id_col: str, cls: str, n: int, classes: int, seed: int) -> DataFrame:
     """n rows: as many of each class as fit evenly, then at random from what is left."""
     quota = max(1, n // classes)
-    ranked = _rank(df, id_col, cls, seed)
-    return ranked.withColumn("extra", F.col("k") > quota).orderBy("extra", "u", id_col).limit(n).drop("k")
+    rows = _rank(df.select(id_col, cls), id_col, cls, seed)
+    return rows.withColumn("extra", F.col("k") > quota).orderBy("extra", "u", id_col).limit(n).drop("k")
 
 
 def split_stratified(df: DataFrame, id_col: str, cls: str, fraction: float, seed: int) -> DataFrame:
     """dev or holdout per row: of each class the fraction, rounded half to even, goes to dev."""
-    ranked = _rank(df, id_col, cls, seed).withColumn("n", F.count("*").over(Window.partitionBy(cls)))
-    return ranked.select(id_col, cls, F.when(F.col("k") <= F.bround(F.col("n") * fraction), "dev").otherwise("holdout").alias("split"))
+    rows = _rank(df.select(id_col, cls), id_col, cls, seed)
+    sizes = df.groupBy(F.col(cls).alias("_cls")).agg(F.count("*").alias("n"))
+    return rows.join(sizes.hint("merge"), F.col(cls).eqNullSafe(F.col("_cls"))).select(id_col, cls, F.when(F.col("k") <= F.bround(F.col("n") * fraction), "dev").otherwise("holdout").alias("split"))
 
 
 def stratified_folds(df: DataFrame, id_col: str, cls: str, k: int, seed: int) -> DataFrame:
-    return _rank(df, id_col, cls, seed).select(id_col, cls, ((F.col("k") - 1) % k).alias("fold"))
+    return _rank(df.select(id_col, cls), id_col, cls, seed).select(id_col, cls, ((F.col("k") - 1) % k).alias("fold"))
 
 
 def coverage_plan(have: DataFrame, pool: DataFrame, cls: str, floor: int) -> DataFrame:

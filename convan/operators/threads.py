@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convan.plans import bindings as B
@@ -29,9 +29,13 @@ def stitch_replies(parts: DataFrame, key: str, order: str, text: str) -> DataFra
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str], keep: str) -> DataFrame:
-    """The first or last row of each key in an order: deterministic, unlike dropDuplicates."""
-    by = [F.col(c).asc_nulls_last() if keep == "first" else F.col(c).desc_nulls_last() for c in order]
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_k = 1").drop("_k")
+    """The first or last row of each key in an order, nulls never first: deterministic, unlike dropDuplicates.
+
+    Partial aggregates keep one row per key and task, so a key with many rows is no burden."""
+    last = keep == "last"
+    place = F.struct(*(f for c in order for f in ((F.col(c).isNotNull() if last else F.col(c).isNull()).alias(f"_{c}"), F.col(c))))
+    best = F.max_by if last else F.min_by
+    return df.groupBy(*keys).agg(best(F.struct(*df.columns), place).alias("_row")).select("_row.*")
 
 
 def rescored(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
