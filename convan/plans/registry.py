@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "grounding"
-MODULES = ["convan.operators.threads", "convan.operators.sampling", "convan.operators.text", "convan.operators.evaluation", "convan.operators.review", "convan.operators.editing", "convan.operators.vectors"]
+MODULES = ["convan.operators.threads", "convan.operators.sampling", "convan.operators.text", "convan.operators.evaluation", "convan.operators.review", "convan.operators.editing", "convan.operators.vectors", "convan.operators.guard"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
