@@ -1,13 +1,18 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line ends and at ends of sentences; sentences are normalised (lower case, runs of anything
-but letters and digits to one blank) and mapped to identifiers of known licence sentences. A document's identifiers, in
-their order, are then matched against rules: each rule is an ordered sequence of identifiers that must follow each other
-(other sentences, which have no identifier, may stand between). All of it is built-in expressions in one projection: no
-shuffle, no Python, and whatever the number of documents, only the fixed rules are sent.
+A text is cut into lines and sentences, which are normalised (lower case, runs of anything but letters and digits to one
+blank). A known sentence counts where it begins and ends at a cut. It may run over line ends and over a ':' or ';', whatever
+comment signs the lines begin with, but not over a blank line or over a '.', '!' or '?' that a blank follows. A number or
+letter of a list may stand before it. Of known sentences that begin at one place the longest counts; what lies inside it
+does not count again. A document's identifiers, in their order, are then matched against rules: each rule is an ordered
+sequence of identifiers that must follow each other (other sentences, which have no identifier, may stand between). All of
+it is built-in expressions in one projection: no shuffle, no Python, and whatever the number of documents, only the fixed
+rules are sent.
 
 Defined cases: null and empty texts have no sentences and no licences; repeated rows are scanned each; a sentence that
-occurs more often counts at each place; texts of any length are scanned whole. Only id and text are read.
+occurs more often counts at each place; texts and lines of any length are scanned whole. A text of the three-clause BSD
+licence also meets the rule of the two-clause one, and 'All rights reserved.' that of proprietary texts. Only id and text
+are read.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
     "all rights reserved": "reserved",
 }
+# Titles of licence texts, which stand alone on their lines; the SQL has neither these nor wrapped sentences.
+TITLES = {"mit license": "mit-ref", "the mit license mit": "mit-ref"}
 # Licences and their rules, each an ordered sequence of sentence identifiers; the first that matches counts.
 RULES = {
     "MIT": [["mit-grant", "mit-notice"], ["mit-ref"]],
@@ -50,19 +57,35 @@ RULES = {
     "BSD-2-Clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
     "proprietary": [["reserved"]],
 }
-#: A sentence ends at a line end, or at a sign followed by a blank.
+#: A sentence ends at a line end, or at a sign followed by a blank. The SQL takes every such place as an end.
 ENDS = r"[\r\n]+|[.!?;:]+[ \t]+"
+#: Every known sentence holds one of these.
+HINTS = "licen|permi|copy|redistribut|neither|rights|free software"
+
+
+def _cut(text):
+    """The normalised text with '|' where every sentence ends and '/' where one may go on, and one of them at each end."""
+    t = F.translate(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), "\r|/", "\n--")
+    for found, by in (
+        (r"\n[^a-z0-9\n]*\n", "|"),  # blank lines, or lines of comment signs
+        (r"[.!?][ \t\n]", "|"),
+        (r"[;:][ \t]|\n", "/"),
+        (r"[^a-z0-9|/]+", " "),
+        (r" ?/[ /]*", "/"),
+        (r" ?/?\|[ /|]*", "|"),
+    ):
+        t = F.regexp_replace(t, found, by)
+    return F.concat(F.lit("|"), F.trim(t), F.lit("|"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, sentence_ids (joined by blanks, in order), licences (joined by commas), n_licences."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    keys = F.array(*map(F.lit, SENTENCES))
-    # Only sentences of a known length can be known; the others are dropped before they are normalised.
-    longest = max(map(len, SENTENCES)) + 200
-    parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), ENDS), lambda s: (F.length(s) <= longest) & F.lower(s).rlike("licen|permi|copy|redistribut|neither|rights"))
-    normal = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.transform(F.filter(normal, lambda s: F.array_contains(keys, s)), lambda s: F.element_at(known, s))
+    ids = SENTENCES | TITLES
+    known = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+    # Longest first: the first alternative that ends at a cut is taken.
+    sentences = "|".join(x.replace(" ", "[ /]") for x in sorted(ids, key=len, reverse=True))
+    places = F.regexp_extract_all(_cut(F.col(text_col)), F.lit(rf"(?<=[|/])(?:(?:[0-9]{{1,2}}|[a-z]) )?({sentences})(?=[|/])"), 1)
+    found = F.transform(F.when(F.lower(text_col).rlike(HINTS), places).otherwise(F.array().cast("array<string>")), lambda s: F.element_at(known, F.translate(s, "/", " ")))
     out = docs.select(F.col(id_col), F.array_join(found, " ").alias("sentence_ids"))
     spaced = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     names = [F.when(_any_rule(spaced, rules), F.lit(name)) for name, rules in RULES.items()]

@@ -141,6 +141,66 @@ def test_licences(docs, spark):
     assert got == {1: "MIT", 2: "Apache-2.0,proprietary", 3: "", 4: ""}
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+(2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_licences_wrapped(spark):
+    said = lambda text, sign: "\n".join(f"{sign}{x}" for x in text.split("\n"))
+    texts = {
+        "mit": MIT, "mit crlf": said(MIT, " * ").replace("\n", "\r\n"), "mit decorated": said(MIT, "#" * 300 + " "), "bsd": BSD, "bsd comment": said(BSD, "// "),
+        "gpl": GPL, "gpl old": said(GPL, ";; ").replace("software:", "software;"), "gpl line": GPL.replace("\n", " "), "title": "x\nMIT License\ny", "list": "Licences: Released under the MIT License; all rights reserved\nx",
+        "apart": GPL.replace("General\n", "General").replace("modify\n", "modify\n\n"), "stop": GPL.replace("modify\n", "modify.\n"), "inside": "He said this is not released under the MIT License.",
+    }
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    mit, gpl = ("mit-ref mit-grant mit-notice", "MIT"), ("gpl3-grant", "GPL-3.0")
+    bsd = ("reserved bsd-grant bsd-source bsd-binary bsd-name", "BSD-3-Clause,BSD-2-Clause,proprietary")
+    want = {"mit": mit, "mit crlf": mit, "mit decorated": mit, "bsd": bsd, "bsd comment": bsd, "gpl": gpl, "gpl old": gpl, "gpl line": gpl, "title": ("mit-ref", "MIT"), "list": ("mit-ref reserved", "MIT,proprietary")}
+    assert got == want | dict.fromkeys(("apart", "stop", "inside"), ("", ""))
+
+
+def test_licences_match_duckdb(spark):
+    import duckdb
+
+    from convan.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    got = {tuple(r) for r in queries.op3_licences(spark, "/root/testdata/sf0.01").collect()}
+    assert got == set(con.sql(queries.ORACLE_SQL["op3_licences"]).fetchall())
+
+
 def test_toxicity_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" idiot ": 3.0, " scum ": 3.0}, [" pond scum "])
     assert lexicon.feature("you 1d10t!")[1] == 1 and lexicon.feature("an іdіоt")[1] == 1 and lexicon.feature("pond scum")[1] == 0 and lexicon.feature(None) == (0.0, 0)
