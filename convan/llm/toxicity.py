@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding, normalised by length, with exception phrases.
 
 Folding: lower case, look-alike letters of other scripts and accented letters to plain ones, digits and signs that stand
-for letters to those letters, all other signs to blanks. The lexicon has a few fixed words and what is learned from
+for letters to those letters, all other signs to blanks; marks without width are taken out. The lexicon has a few fixed words and what is learned from
 labelled rows: words, or beginnings of words, whose contexts lie in toxic texts far more often than chance allows.
 Contexts (the word before and after) are counted once each, so that copies of one text don't make its words toxic.
 An exception phrase cancels the hits inside it: fixed phrases, and longer words around a learned beginning that were
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,11 +38,20 @@ LOOKALIKES = {
     "a": "аαáàâäãåāɑ4@", "b": "ЬƄ", "c": "сϲçćč", "d": "ԁɗ", "e": "еεéèêëēėę3€", "g": "ɡ9", "h": "һ", "i": "іιíìîïīı1!|", "j": "јϳ", "k": "κк", "l": "ӏⅼ", "m": "м", "n": "ոñń",
     "o": "оοóòôöõōø0", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕšś5$", "t": "тτ7+", "u": "υսúùûüū", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уүýÿ", "z": "ᴢžź",
 }
-_FOLD: dict[int, str] = {c: " " for c in range(128) if not chr(c).isalnum()}
+class _Folding(dict):
+    """By code point; what is not listed is found by its Unicode class, once a process."""
+
+    def __missing__(self, c: int) -> str:
+        x = chr(c)
+        kind = unicodedata.category(x)
+        # Spacing marks are parts of words in the scripts that have them.
+        self[c] = x if x.isalnum() or kind == "Mc" else "" if kind in ("Mn", "Me", "Cf") else " "
+        return self[c]
+
+
+_FOLD: dict[int, str] = _Folding()
 _FOLD |= {ord(x): a for a, xs in LOOKALIKES.items() for x in xs}
 _FOLD |= {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: str(i) for i in range(10)}
-_FOLD |= {c: "" for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}  # signs without width
-_FOLD |= {c: " " for c in (0xA0, 0x2028, 0x2029, *range(0x2000, 0x200B), *range(0x2010, 0x2028))}
 #: Signs that stand for letters do so only inside or before the rest of a word.
 _NOT_LETTERS = re.compile(r"[!|+$@]+(?!\w)|(?<!\S)[!|+]+")
 

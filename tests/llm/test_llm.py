@@ -206,6 +206,14 @@ def test_toxicity_folding_and_exceptions():
     assert lexicon.feature("you 1d10t!")[1] == 1 and lexicon.feature("an іdіоt")[1] == 1 and lexicon.feature("pond scum")[1] == 0 and lexicon.feature(None) == (0.0, 0)
 
 
+def test_toxicity_folding_of_signs():
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " scumm": 3.0}, [])
+    clear = ("idiot", "¡idiot!", "¿idiot?", "«idiot»", "‹idiot›", "·idiot·", "idiot。", "、idiot，", "「idiot」", "😀idiot", "idiot😀", "❤\ufe0fidiot", "idiot👩\u200d💻", "x…idiot—y", "idiot\u3000x", "＿idiot＿", "idiot\x85x", "\u202eidiot\u202c", "id\u200biot", "idio\u0301t", "i\u0336d\u0336iot", "id\xadiot")
+    assert [x for x in clear if lexicon.feature(x)[1] != 1] == [] and lexicon.feature("«scummy")[1] == 1
+    assert toxicity.fold("日本語 हिन्दी x²").split()[0] == "日本語" and len(toxicity.fold("हिन्दी की").split()) == 2
+    assert [x for x in ("idiotа", "éidiot", "idiotです") if lexicon.feature(x)[1]] == []
+
+
 def test_classifiers_held_out(spark):
     d = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
