@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,8 +95,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def runs_of_bytes(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of runs of texts that together have at most so many bytes; of one text if that has more."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 class WordIds:
-    """Ids of many words at a time. Those of short words are kept, of at most `most` words; then it starts anew.
+    """Ids of many words at a time. Those of short words are kept; beyond `most` words, only those of the last batch stay.
 
     encode_new gives the ids of words as little-endian unsigned 32-bit numbers, for words that aren't known."""
 
@@ -105,8 +116,6 @@ class WordIds:
 
     def of(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
-        if len(self.known) > self.most:
-            self.known.clear()
         found = list(map(self.known.get, words))
         new = [i for i, x in enumerate(found) if x is None]
         if new:
@@ -114,6 +123,8 @@ class WordIds:
                 found[i] = ids
                 if len(words[i]) <= self.letters:
                     self.known[words[i]] = ids
+        if len(self.known) > self.most:
+            self.known = {w: x for w, x in zip(words, found, strict=True) if len(w) <= self.letters}
         return found
 
     def batch(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,38 +28,62 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convan.llm.common import WordIds, saved, spread
+from convan.llm.common import runs_of_bytes, saved, spread
 
 SIZE, END_ID = 4096, 1
 CELL_ROWS = 100_000
 _NO_BLANKS = re.compile("[\x1c-\x1f]")  # blanks for Arrow, not for the tokenizer
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Letters that one code point stands for in either case, then signs other than those of contractions and special tokens.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\[-`{-~]*)")
-CACHE_WORDS = 300_000  # words, and parts of words, whose ids a worker keeps
+_PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<signs>[!-&(-/:;=-@\[-`{-~]*)$"
+CACHE_PARTS = 400_000  # words without their signs, and signs, whose ids a worker keeps
 _WORKER: dict = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins words across blanks, word by word."""
+    """Ids of whole texts by a tokenizer that never joins words across blanks, word by word.
+
+    A plain word is its letters in lower case and the signs after them, which the tokenizer keeps apart too: two parts.
+    Any other word is a part of its own. Each distinct part is encoded once and kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for work burn it
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = WordIds(self._new, CACHE_WORDS), WordIds(self._encoded, CACHE_WORDS)
-
-    def _new(self, words: list[str]) -> list[bytes]:
-        """A plain word is its letters in lower case and the signs after them, which the tokenizer keeps apart too."""
-        split = [m.groups() if (m := _PLAIN.fullmatch(w)) else None for w in words]
-        letters = [(w if s is None else s[0].lower(), "" if s is None else s[1]) for w, s in zip(words, split, strict=True)]
-        distinct = list({x for pair in letters for x in pair if x})
-        ids = dict(zip(distinct, self.parts.of(distinct), strict=True)) | {"": b""}
-        return [ids[a] + ids[b] for a, b in letters]
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_word_each(self, parts: list[str], group: int = 256) -> list[bytes]:
+        """The ids of parts that are one word to the tokenizer: many are encoded as one text, and cut after each word's last token."""
+        out = []
+        for i in range(0, len(parts), group):
+            own = parts[i : i + group]
+            ids = np.array(self._encoded([" ".join(own)])[0], "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            whole = len(cuts) == len(own) + 1 and cuts[-1] == len(data)
+            out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] if whole else [np.array(x, "<u4").tobytes() for x in self._encoded(own)]
+        return out
+
+    def _of(self, parts: list[str], odd: np.ndarray) -> list[bytes]:
+        """The ids of distinct parts; odd: whether one may be several words to the tokenizer."""
+        found = list(map(self.known.get, parts))
+        new = np.fromiter((x is None for x in found), bool, len(found))
+        for at in (np.flatnonzero(new & ~odd).tolist(), np.flatnonzero(new & odd).tolist()):
+            words = [parts[i] for i in at]
+            ids = [np.array(x, "<u4").tobytes() for x in self._encoded(words)] if words and odd[at[0]] else self._one_word_each(words)
+            for i, x in zip(at, ids, strict=True):
+                found[i] = x
+            self.known |= {w: x for w, x in zip(words, ids, strict=True) if len(w) <= 48}
+        if len(self.known) > CACHE_PARTS:  # those in use now are likely to come again
+            self.known = {"": b""} | {w: x for w, x in zip(parts, found, strict=True) if len(w) <= 48}
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids end. Nulls have none."""
@@ -68,7 +92,24 @@ class WordTokenizer:
             lists = pa.array([_BLANKS.split(t) if _NO_BLANKS.search(t) else t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
             lists = pc.utf8_split_whitespace(texts)
-        return self.words.batch(lists)
+        coded = lists.flatten().dictionary_encode()
+        plain = pc.extract_regex(coded.dictionary, _PLAIN)
+        other = pc.is_null(plain)
+        letters = pc.if_else(other, coded.dictionary, pc.utf8_lower(pc.struct_field(plain, "letters")))
+        signs = pc.fill_null(pc.struct_field(plain, "signs"), "")
+        both = pa.concat_arrays([letters, signs]).dictionary_encode()
+        part = both.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T  # letters and signs of each distinct word
+        odd = np.zeros(len(both.dictionary), bool)
+        odd[part[other.to_numpy(zero_copy_only=False), 0]] = True
+        ids = self._of(both.dictionary.to_numpy(zero_copy_only=False).tolist(), odd)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        index = part[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        n = size[index]
+        after = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(first[index] - after[:-1], n) + np.arange(after[-1])]
+        return out, after[2 * np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]
 
 
 def _pieces(path: str, size: int, end_id: int):
@@ -76,8 +117,8 @@ def _pieces(path: str, size: int, end_id: int):
         if path not in _WORKER:
             _WORKER[path] = WordTokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at, to in runs_of_bytes(whole.column(1)):
+                batch = whole.slice(at, to - at)
                 ids, ends = _WORKER[path].encode(batch.column(1))
                 ids = np.insert(ids, ends, end_id).astype("<u4")
                 ends = ends + np.arange(1, len(ends) + 1)
