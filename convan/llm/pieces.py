@@ -7,7 +7,7 @@ The edges are sorted by their end and relaxed from left to right, all words of t
 
 The model is a BPE model, so the best path is not the one with the largest sum of scores but the one that merging by score
 would leave. That path can be relaxed too: the encoding of a prefix is unique, and a piece extends it exactly if merging
-the two last pieces' letters again gives these two pieces. Pairs are tested once by merging and remembered. A word whose
+the two last pieces' letters again gives these two pieces, which undoing their merges tells, all pairs at a time. A word whose
 path breaks (none is known) is merged directly. Letters that are no piece become byte pieces.
 
 Defined cases: null texts have null ids; empty texts have none; repeated rows are encoded each; a text's blanks are kept
@@ -27,41 +27,45 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from convan.llm.common import WordIds
+from convan.llm.common import WordIds, runs_of_bytes
 
 BLANK = "▁"
-CACHE_PAIRS = 4_000_000  # tested pairs that a worker keeps, at most
-LONG = 500  # letters of a word beyond which it is merged directly
-LETTERS = 1_000_000  # of new words, indexed at once
+CACHE_WORDS = 400_000  # words with their ids that a worker keeps
+LONG = 20_000  # letters of a word beyond which it is merged directly: the relaxation has a step for each letter of the longest word
+LETTERS = 500_000  # of new words, indexed at once
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _WORKER: dict = {}
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of codes, ordered by the `depth` codes that begin there."""
-    rank, step = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while step < depth:
-        after = np.zeros_like(rank)
-        after[:-step] = rank[step:]
-        rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
-        step *= 2
-    return np.argsort(rank, kind="stable")
+def packed_letters(ranks: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """For each position the `depth` letters from there on, 62 // bits of them a number: rows of numbers that compare as they do."""
+    per = 62 // bits
+    padded = np.concatenate([ranks, np.zeros(depth + per, np.int64)])
+    out = np.zeros((-(-depth // per), len(ranks)), np.int64)
+    for j in range(depth):
+        out[j // per] |= padded[j : j + len(ranks)] << (bits * (per - 1 - j % per))
+    return out
 
 
-def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece (a row of codes, padded with 0) the range of the suffix array that begins with it."""
-    padded = np.concatenate([codes, np.zeros(pieces.shape[1], codes.dtype)])
+def suffix_array(keys: np.ndarray) -> np.ndarray:
+    """Positions, ordered by the letters that begin there."""
+    return np.lexsort(keys[::-1]).astype(np.int32)
+
+
+def occurrences(keys: np.ndarray, order: np.ndarray, pieces: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece (its packed letters, and which bits of them count) the range of the suffix array that begins with it."""
 
     def bound(after_equal: bool) -> np.ndarray:
-        low, high = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(order), np.int64)
+        low, high = np.zeros(pieces.shape[1], np.int64), np.full(pieces.shape[1], len(order), np.int64)
         while (open_ := low < high).any():
             mid = (low + high) // 2
             at = order[np.minimum(mid, len(order) - 1)]
-            sign = np.zeros(len(pieces), np.int8)  # of suffix - piece, over the piece's length
-            for j in range(pieces.shape[1]):
-                differ = np.sign(padded[at + j].astype(np.int64) - pieces[:, j]).astype(np.int8)
-                sign = np.where((sign == 0) & (j < sizes), differ, sign)
-            right = open_ & ((sign < 0) | ((sign == 0) & after_equal))
+            less, equal = np.zeros(len(mid), bool), np.ones(len(mid), bool)
+            for key, piece, mask in zip(keys, pieces, masks, strict=True):
+                found = key[at] & mask
+                less |= equal & (found < piece)
+                equal &= found == piece
+            right = open_ & (less | (equal & after_equal))
             low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
         return low
 
@@ -92,59 +96,96 @@ class PieceCoder:
         self.longest = int(self.sizes.max())
         self.codes = np.zeros((len(normal), self.longest), np.int64)
         for row, i in enumerate(normal):
-            self.codes[row, : self.sizes[row]] = [ord(c) for c in self.text[i]]
+            self.codes[row, : self.sizes[row]] = [ord(c) + 1 for c in self.text[i]]
         self.base = len(self.text)  # base + code point: a letter that is no piece
-        self.words = WordIds(self._new, 600_000)
-        self.pairs_key, self.pairs_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def letters(self, token: int) -> str:
-        return chr(token - self.base) if token >= self.base else self.text[token]
-
-    def merged(self, word: str) -> list[int]:
-        """The encoding of a word by merging the best adjacent pair, leftmost first, until none is a piece."""
-        parts = list(word)
-        while len(parts) > 1:
+        self.words = WordIds(self._new, CACHE_WORDS)
+        self._learn_splits()
+
+    def _learn_splits(self) -> None:
+        """Of which two pieces each piece is the merge, and in which order merges are taken."""
+        n = len(self.text)
+        self.rank = np.zeros(n + 1, np.int64)  # 0: letters, the last is any letter that is no piece
+        merges = sorted((i for i in self.id_of.values() if len(self.text[i]) > 1), key=lambda i: -self.score[self.text[i]])
+        self.rank[merges] = np.arange(1, len(merges) + 1)
+        self.left, self.right = np.arange(n + 1), np.arange(n + 1)
+        self.reached = np.ones(n + 1, bool)
+        for i in merges:
+            parts = self._merge(list(self.text[i]), 2)
+            self.reached[i] = len(parts) == 2 and all(p in self.id_of for p in parts)
+            if self.reached[i]:
+                self.left[i], self.right[i] = (self.id_of[p] for p in parts)
+        joins = {}
+        for i in merges:
+            t = self.text[i]
+            for k in range(1, len(t)):
+                if t[:k] in self.id_of and t[k:] in self.id_of:
+                    joins[self.id_of[t[:k]] * (n + 1) + self.id_of[t[k:]]] = self.rank[i]
+        self.join_key = np.array(sorted(joins), np.int64)
+        self.join_rank = np.array([joins[x] for x in self.join_key.tolist()], np.int64)
+
+    def _merge(self, parts: list[str], until: int) -> list[str]:
+        """Merges the best adjacent pair, leftmost first, until none is a piece or so many parts are left."""
+        while len(parts) > until:
             best = max(((s, -i) for i in range(len(parts) - 1) if (s := self.score.get(parts[i] + parts[i + 1])) is not None), default=None)
             if best is None:
                 break
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.id_of.get(p, self.base + ord(p[0])) for p in parts]
+        return parts
 
     def fits(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether merging the letters of two tokens gives these tokens; pairs: first * 2^32 + second, first -1 for none."""
-        at = np.searchsorted(self.pairs_key, pairs)
-        new = pairs[self.pairs_key[np.minimum(at, len(self.pairs_key) - 1)] != pairs] if len(self.pairs_key) else pairs
-        if len(new):
-            ok = []
-            for key in new.tolist():
-                a, b = (key >> 32) - 1, key & 0xFFFFFFFF
-                want = [b] if a < 0 else [a, b]
-                ok.append(self.merged("".join(map(self.letters, want))) == want)
-            place = np.searchsorted(self.pairs_key, new)
-            self.pairs_key, self.pairs_ok = np.insert(self.pairs_key, place, new), np.insert(self.pairs_ok, place, ok)
-        return self.pairs_ok[np.searchsorted(self.pairs_key, pairs)]
+        """Whether merging the letters of two tokens gives these tokens; pairs: first + 1 times 2^32, plus second; first -1 for none.
+
+        The last merges on either side of the border are undone, latest first; the tokens stay if no two that meet at the
+        border on the way would have been merged earlier than what was undone there."""
+        n = len(self.text)
+        a, b = (pairs >> 32) - 1, pairs & 0xFFFFFFFF
+        ok = self.reached[np.minimum(b, n)]
+        at = np.flatnonzero(ok & (a >= 0))
+        one, two = np.minimum(a[at], n), np.minimum(b[at], n)
+        limit = np.full(len(at), 1 << 40)
+        while len(at):
+            key = one * (n + 1) + two
+            place = np.minimum(np.searchsorted(self.join_key, key), len(self.join_key) - 1)
+            bad = (self.join_key[place] == key) & (self.join_rank[place] < limit)
+            ok[at[bad]] = False
+            first = self.rank[one] > self.rank[two]  # of equal pieces the right one was merged later
+            go = ~bad & ((self.rank[one] > 0) | (self.rank[two] > 0))
+            limit = np.where(first, self.rank[one], self.rank[two] + 1)
+            one, two = np.where(first, self.right[one], one), np.where(first, two, self.left[two])
+            at, one, two, limit = at[go], one[go], two[go], limit[go]
+        return ok
 
     def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The tokens of all words, where each word's begin, how many they are, and whether its path is whole."""
-        joined = "\0".join(words) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
-        order = suffix_array(codes, self.longest)
-        low, high = occurrences(codes, order, self.codes, self.sizes)
+        size = np.array([len(w) for w in words])
+        begin = np.cumsum(size + 1) - size - 1
+        codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
+        codes[begin + size] = 0  # between words
+        alphabet, ranks = np.unique(codes, return_inverse=True)
+        bits = int(len(alphabet)).bit_length()
+        keys = packed_letters(ranks, self.longest, bits)
+        order = suffix_array(keys)
+        place = np.minimum(np.searchsorted(alphabet, self.codes), len(alphabet) - 1)
+        here = (alphabet[place] == self.codes) | (self.codes == 0)  # other pieces have letters that don't occur
+        sought = np.flatnonzero(here.all(1))
+        inside = self.codes[sought] > 0
+        # A piece's letters, and ones at their bits: packed_letters of rows that lie one after the other.
+        flat = lambda x: packed_letters(x.ravel(), self.longest, bits)[:, :: self.longest]
+        low, high = occurrences(keys, order, flat(np.where(inside, place[sought], 0)), flat(inside * ((1 << bits) - 1)))
         n = high - low
-        which = np.repeat(np.arange(len(n)), n)
-        start = order[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        end, token = start + self.sizes[which], self.ids[which]
+        which = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        start = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        length = self.sizes[sought].astype(np.int32)
+        end, token = start + length[which], self.ids[sought].astype(np.int32)[which]
         single = np.zeros(len(codes), bool)
-        single[start[self.sizes[which] == 1]] = True
-        odd = np.flatnonzero(~single & (codes != 0))
-        start, end, token = np.concatenate([start, odd]), np.concatenate([end, odd + 1]), np.concatenate([token, self.base + codes[odd]])
-        size = np.array([len(w) for w in words])
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        single[start[length[which] == 1]] = True
+        odd = np.flatnonzero(~single & (codes != 0)).astype(np.int32)
+        start, end, token = np.concatenate([start, odd]), np.concatenate([end, odd + 1]), np.concatenate([token, (self.base + codes[odd] - 1).astype(np.int32)])
         depth = (end - np.repeat(begin, size + 1)[start]).astype(np.int16)
         order = np.argsort(depth, kind="stable")  # edges by the place in their word where they end
         start, end, token, depth = start[order], end[order], token[order], depth[order]
-        last, back = np.full(len(codes) + 1, -2, np.int64), np.zeros(len(codes) + 1, np.int64)
+        last, back = np.full(len(codes) + 1, -2, np.int32), np.zeros(len(codes) + 1, np.int32)
         last[begin] = -1
         cuts = np.searchsorted(depth, np.arange(1, size.max(initial=0) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -153,7 +194,7 @@ class PieceCoder:
             live = np.flatnonzero(before != -2)
             if not len(live):
                 continue
-            key, index = np.unique((before[live] + 1) * (1 << 32) + t[live], return_inverse=True)
+            key, index = np.unique((before[live].astype(np.int64) + 1) * (1 << 32) + t[live], return_inverse=True)
             good = live[self.fits(key)[index]]
             last[e[good]], back[e[good]] = t[good], s[good]
         # Back from every word's end, all words a step at a time.
@@ -180,12 +221,10 @@ class PieceCoder:
 
     def _new(self, words: list[str]) -> list[bytes]:
         """The ids of words, each with its blanks."""
-        if len(self.pairs_key) > CACHE_PAIRS:
-            self.pairs_key, self.pairs_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         out: list[bytes] = [b""] * len(words)
         part, letters = [], 0
         for i, w in enumerate(words):
-            if "\0" in w or len(w) > LONG:
+            if len(w) > LONG:
                 out[i] = self._bytes(self.merged_long(w))
             else:
                 part.append(i)
@@ -216,7 +255,7 @@ class PieceCoder:
         return [None if null else bytes(data[a:b]) for null, a, b in zip(texts.is_null().to_pylist(), [0, *ends], ends, strict=False)]
 
     def merged_long(self, word: str) -> list[int]:
-        """merged() for very long words: a heap of candidate merges over a linked list."""
+        """The encoding of a word by merging, for very long ones: a heap of candidate merges over a linked list."""
         import heapq
 
         parts: list[str | None] = list(word)
@@ -250,17 +289,12 @@ class PieceCoder:
         ids = np.frombuffer(data, "<u4")
         if not self.is_byte[ids].any():
             return self._plain("".join(map(self.shown.__getitem__, ids.tolist())))
-        out, raw = [], bytearray()
-        for i in ids.tolist():
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.hidden:
-                out.append(self.text[i])
-        out.append(raw.decode("utf-8", "replace"))
+        odd = self.is_byte[ids]
+        cuts = np.flatnonzero(np.diff(odd, prepend=odd[0], append=odd[-1])).tolist()
+        ids, raw, out = ids.tolist(), bool(odd[0]), []
+        for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):  # runs of byte pieces, and what lies between
+            out.append(bytes(map(self.byte_of.__getitem__, ids[a:b])).decode("utf-8", "replace") if raw else "".join(map(self.shown.__getitem__, ids[a:b])))
+            raw = not raw
         return self._plain("".join(out))
 
     @staticmethod
@@ -283,7 +317,7 @@ def encode(text: Column, model_path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = pa.array(batch, pa.string())
-            yield pd.Series([x for i in range(0, len(texts), 1024) for x in coder(model_path).encode(texts[i : i + 1024])], dtype=object)
+            yield pd.Series([x for at, to in runs_of_bytes(texts) for x in coder(model_path).encode(texts[at:to])], dtype=object)
 
     return run(text)
 
@@ -297,3 +331,16 @@ def decode(ids: Column, model_path: str) -> Column:
             yield pd.Series([coder(model_path).decode(x) for x in batch], dtype=object)
 
     return run(ids)
+
+
+def encode_and_decode(text: Column, model_path: str) -> Column:
+    """A struct of encode()'s ids and of what decode() makes of them, by one worker."""
+
+    @F.pandas_udf("ids binary, text string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = pa.array(batch, pa.string())
+            ids = [x for at, to in runs_of_bytes(texts) for x in coder(model_path).encode(texts[at:to])]
+            yield pd.DataFrame({"ids": ids, "text": [coder(model_path).decode(x) for x in ids]}, dtype=object)
+
+    return run(text)

@@ -22,9 +22,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and crc of the ids of its whole text, and whether decoding them gives the text back."""
     path = public_tokenizers.path(PIECE_MODEL)
-    ids = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encode(F.col("text"), path).alias("ids"))
-    same = pieces.decode(F.col("ids"), path).eqNullSafe(F.replace("text", F.lit(pieces.BLANK), F.lit(" ")))
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+    coded = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encode_and_decode(F.col("text"), path).alias("coded"))
+    same = F.col("coded.text").eqNullSafe(F.replace("text", F.lit(pieces.BLANK), F.lit(" ")))
+    return coded.select("doc_id", (F.octet_length("coded.ids") / 4).cast("long").alias("n_ids"), F.crc32("coded.ids").alias("ids_crc32"), same.alias("round_trip"))
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
