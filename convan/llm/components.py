@@ -23,15 +23,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return joined.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def _smallest(edges: DataFrame) -> bool:
-    """Whether every node has one edge only, so that stars don't share a node."""
-    return edges.groupBy("a").count().where("count > 1").limit(1).count() == 0
+def _stars(edges: DataFrame) -> bool:
+    """Whether every component is one star: every node has one edge only, and no centre is the end of another edge."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("begins"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("begins"), F.lit(1).alias("centre")))
+    return ends.groupBy("node").agg(F.sum("begins").alias("n"), F.max("centre").alias("c")).where("n > 1 or n > 0 and c > 0").limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of edges (a, b) with the smallest node that it reaches. Loops and nulls are ignored."""
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    # Done when no centre is the end of another edge: then every component is one star.
-    while now.join(now.select(F.col("b").alias("c")).distinct().hint("merge"), F.col("a") == F.col("c"), "left_semi").limit(1).count() or not _smallest(now):
+    while not _stars(now):
         now = saved(_star(_star(now, True).distinct(), False).distinct(), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

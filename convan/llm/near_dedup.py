@@ -36,6 +36,8 @@ from convan.llm.components import components
 
 WORDS, BANDS, ROWS, BITS, SET_BITS = 5, 32, 4, 512, 1024
 STEP, SUMS = 16, 256  # the cuts by the sum of two sets' sizes; beyond the last the cut lets everything pass
+WIDTHS = (1, 2)  # bands in a bucket key, round by round
+SALTS, SPLIT = 16, 4_000  # keys that a hot id is spread over; members of a bucket that one key holds
 _rng = np.random.default_rng(3)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None]
@@ -88,10 +90,13 @@ def most_bits(threshold: float, bits: int = BITS, samples: int = BANDS * ROWS, d
 
 
 def _most_set_bits(both: int, threshold: float) -> int:
-    """The XOR count of whole-set sketches, expectation + 5 deviations, of sets with so many elements together."""
+    """The XOR count of whole-set sketches of sets with so many elements together: at most their differences at the threshold,
+    and at most the expectation for these + 5 deviations."""
+    if both >= STEP * SUMS:
+        return SET_BITS
     x = both * (1 - threshold) / (1 + threshold) / SET_BITS  # differences at the threshold, per bit
     spread_ = math.sqrt(max(SET_BITS / 4 * (1 - math.exp(-4 * x)) - SET_BITS * x * math.exp(-4 * x), 0))
-    return math.ceil(SET_BITS / 2 * (1 - math.exp(-2 * x)) + 5 * spread_ + 2)
+    return min(math.floor(x * SET_BITS + 1e-9), math.ceil(SET_BITS / 2 * (1 - math.exp(-2 * x)) + 5 * spread_ + 2))
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
@@ -109,7 +114,7 @@ def _cut(a: str, b: str, threshold: float) -> Column:
 def _one_sketch() -> Column:
     """The sketch that fits a set's size, for joins: of the whole set, or of its MinHash values for large sets."""
     zeros = F.array(*[F.lit(0).cast("long")] * ((SET_BITS - BITS) // 64))
-    return F.struct("s.n", F.when(F.col("s.n") <= SET_BITS, F.col("s.set_bits")).otherwise(F.concat("s.bits", zeros)).alias("q"), (F.col("s.n") > SET_BITS).alias("large"))
+    return F.struct("s.n", F.when(F.col("s.n") <= 2 * SET_BITS, F.col("s.set_bits")).otherwise(F.concat("s.bits", zeros)).alias("q"), (F.col("s.n") > 2 * SET_BITS).alias("large"))
 
 
 def _close_by_one(a: str, b: str, threshold: float) -> Column:
@@ -123,15 +128,15 @@ def _sketches(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+            for i, text, h in batch.itertuples(index=False):
                 s = shingle_set(text, k)
                 if not len(s):
-                    rows.append((i, 0, 0, 0, None, None, None))
+                    rows.append((i, h, 0, 0, 0, None, None, None))
                     continue
                 m = min_hashes(s)
                 bands = mixed((m.reshape(BANDS, ROWS) * _MIX[0, :ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64))
-                rows.append((i, len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mixed(s + _MIX[3, 0])).view(np.int64)), bands.view(np.int64), odd_sketch(m).view(np.int64), set_sketch(s).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "bands", "bits", "set_bits"]).astype({"id": "Int64"})
+                rows.append((i, h, len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mixed(s + _MIX[3, 0])).view(np.int64)), bands.view(np.int64), odd_sketch(m).view(np.int64), set_sketch(s).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "h", "n", "s1", "s2", "bands", "bits", "set_bits"]).astype({"id": "Int64"})
 
     return run
 
@@ -147,9 +152,12 @@ def _distance() -> Column:
     return F.when(both <= 3 * SET_BITS, _apart("sa.set_bits", "sb.set_bits", SET_BITS) / both).otherwise(_apart("sa.bits", "sb.bits", BITS) / (2.0 * BITS))
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Each a with the b that looks most similar."""
-    return pairs.groupBy("a").agg(F.min_by("b", F.struct(_distance(), F.col("b"))).alias("b"))
+def _lookup(pairs: DataFrame, of: DataFrame, key: str, by: str) -> DataFrame:
+    """pairs with the columns of `of`, a table by `key`. A key of very many pairs is spread over SALTS keys by the column `by`;
+    no more rows of `of` are copied than there are pairs."""
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    wanted = salted.select(key, "_salt").distinct().join(of.hint("merge"), key)
+    return salted.join(wanted.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -160,7 +168,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
         out, last, kept = [], None, None
         for x, y in zip(left, right, strict=True):
-            if y is not last:
+            if last is None or y != last:
                 kept, last = shingle_set(y, k), y
             s = shingle_set(x, k)
             both = len(np.intersect1d(s, kept, assume_unique=True))
@@ -168,59 +176,98 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
         return pd.Series(out, dtype="bool")
 
     t = lambda i: texts.select(F.col("id").alias(i), F.col("text").alias(f"t{i}"))
-    rows = pairs.select("a", "b").join(t("b").hint("merge"), "b").join(t("a").hint("merge"), "a")
+    rows = _lookup(pairs.select("a", "b").join(t("a").hint("merge"), "a"), t("b"), "b", "a")
     return rows.where(linked("ta", "tb")).select("a", "b").distinct()
 
 
+def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (id, c; of ids that aren't their own label) after linking the labels of edges (a, b), each to the smallest that it
+    has a link with, and on from there. Ids of one label are connected; not all that are connected get one label."""
+    hook = saved(edges.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("to")).groupBy("c").agg(F.min("to").alias("to")), "hooks")
+    for _ in range(2):
+        hook = hook.join(hook.select(F.col("c").alias("to"), F.col("to").alias("next")).hint("merge"), "to", "left").select("c", F.coalesce("next", "to").alias("to"))
+    moved = label.join(hook.hint("merge"), "c", "left").select("id", F.coalesce("to", "c").alias("c"))
+    return saved(moved.unionByName(hook.select(F.col("c").alias("id"), F.col("to").alias("c"))), "labels")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """The rows of those buckets that hold several labels, with the bucket's size and whether a row has its most frequent label."""
+    sizes = named.groupBy("band", "c").agg(F.count("*").alias("size"))
+    parts = sizes.groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    return named.join(parts.hint("merge"), "band").withColumn("of_main", F.col("c") == F.col("main")).drop("main")
+
+
+def _keys(width: int) -> Column:
+    """Bucket keys of so many neighbouring bands each: the wider, the nearer are those that share one."""
+    return F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, {', '.join(f'bands[(i + {j}) % {BANDS}]' for j in range(width))}))")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, k: int = WORDS) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable), kept."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = saved(spread(source, "id").mapInPandas(_sketches(k), "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>, set_bits array<long>"), "sketches")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    sketched = saved(spread(source, "id").mapInPandas(_sketches(k), "id long, h long, n long, s1 long, s2 long, bands array<long>, bits array<long>, set_bits array<long>"), "sketches")
     key = ["n", "s1", "s2"]
-    classes = sketched.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
-    rep = sketched.where("n > 0").join(classes.hint("merge"), key).where("id = rep").select("id", "bands", F.struct("n", "bits", "set_bits").alias("s")).dropDuplicates(["id"])
-    rep = saved(rep, "classes")
+    classes = saved(sketched.where("n > 0 and id is not null").groupBy(*key).agg(F.min(F.struct("id", "h")).alias("rep")).select(*key, "rep.id", "rep.h"), "classes")
+    rep = sketched.select("id", "h", "n", "bands", F.struct("n", "bits", "set_bits").alias("s")).join(classes.select("id", "h").hint("merge"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    rows = saved(rep, "reps").select("id", "h", "n", "bands", "s")
+    # Buckets of more than one class, and the classes in them: nothing else is looked at from here on.
+    keyed = rows.select("id", F.posexplode("bands").alias("i", "band"))
+    buckets = keyed.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1").select("band", "b")
+    shared = saved(keyed.join(buckets.hint("merge"), "band"), "buckets")
+    rep = saved(rows.join(shared.select("id").distinct().hint("merge"), "id", "left_semi"), "shared")
+    texts = saved(source.join(rep.select("id", "h").distinct().hint("merge"), ["id", "h"], "left_semi").select("id", "h", "text").dropDuplicates(["id", "h"]), "texts")
     sketch = lambda i: rep.select(F.col("id").alias(i), F.col("s").alias(f"s{i}"))
-    rows = rep.select("id", F.posexplode("bands").alias("i", "band"))
-    buckets = rows.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1").select("band", "b")
-    shared = saved(rows.join(buckets.hint("merge"), "band").select("band", "i", "id", "b"), "buckets")
-    stars = shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    stars = stars.join(sketch("b").hint("merge"), "b").join(sketch("a").hint("merge"), "a").where(_close("sa", "sb", threshold))
-    first = saved(_nearest(stars), "first")
-    texts = source.where("id is not null")
-    links = saved(_confirm(first, texts, threshold, k), "links")
-    # Every class's link leads to a smaller id: following it twice, and that twice, labels classes that are connected.
-    label = links
-    for _ in range(2):
-        step = label.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        label = label.join(step.hint("merge"), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
-    label = saved(label.select(F.col("a").alias("id"), F.col("b").alias("c")), "labels")
-    # Buckets that hold several labels.
-    named = saved(shared.select("band", "i", "id").join(label.hint("merge"), "id", "left").select("band", "i", "id", F.coalesce("c", "id").alias("c")), "named")
-    parts = named.groupBy("band", "c").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
-    parts = saved(parts, "parts")
-    several = named.join(parts.hint("merge"), "band").join(rep.select("id", "s", "bands").hint("merge"), "id")
-    # The bands before this one: a pair is taken in the first of the bands that it shares, and nowhere else.
-    several = saved(several.select("band", "id", "c", "s", F.slice("bands", 1, F.col("i")).alias("earlier"), (F.col("c") == F.col("main")).alias("of_main")), "several")
-    # Classes without a link meet three other members of each bucket's main label, picked by hash: most find theirs here.
-    picks = [F.min_by(F.struct("id", "c", "s"), F.xxhash64("id", F.lit(i))) for i in range(3)]
-    centres = several.where("of_main").groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("m")).select("band", F.explode("m").alias("m")).select("band", F.col("m.id").alias("b"), F.col("m.c").alias("cb"), F.col("m.s").alias("sb"))
-    alone = several.where("not of_main and id = c").select("band", F.col("id").alias("a"), F.col("s").alias("sa"))
-    second = alone.join(centres.hint("merge"), "band").where(_close("sa", "sb", threshold))
-    second = saved(second.groupBy("a").agg(F.min_by(F.struct("b", "cb"), F.struct(_distance(), F.col("b"))).alias("m")).select("a", "m.b", "m.cb"), "second")
-    joined = saved(_confirm(second, texts, threshold, k), "joined")
-    relabel = joined.join(second.hint("merge"), ["a", "b"]).select(F.col("a").alias("id"), F.col("cb").alias("new_c"))
-    several = several.drop("of_main").join(relabel.hint("merge"), "id", "left").select("band", "id", F.coalesce("new_c", "c").alias("c"), "s", "earlier").join(parts.hint("merge"), "band")
-    several = saved(several.select("band", "id", "c", _one_sketch().alias("s"), "earlier", (F.col("c") == F.col("main")).alias("of_main")), "several")
-    # What is left: every member with another label than the bucket's main one meets all members with other labels.
-    left = several.where("not of_main").select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("earlier").alias("ea"))
-    right = several.select(F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("earlier").alias("eb"), "of_main")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """For each a the b that looks most similar, of those that may be similar enough."""
+        both = _lookup(pairs.join(sketch("a").hint("merge"), "a"), sketch("b"), "b", "a").where(_close("sa", "sb", threshold))
+        return both.groupBy("a").agg(F.min_by("b", F.struct(_distance(), F.col("b"))).alias("b"))
+
+    tested = saved(best(shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct()), "first")
+    none = rep.select("id", F.col("id").alias("c")).limit(0)
+    links = saved(_confirm(tested, texts, threshold, k), "links")
+    label = _merged(none, links)
+    # Who is not of its bucket's main label meets three of its members, in ever narrower buckets.
+    open_ = saved(_open(_labelled(shared.select("band", "i", "id"), label)), "open")
+    for width in WIDTHS:
+        if width > 1:
+            left = rep.join(open_.select("id").distinct().hint("merge"), "id", "left_semi").select("id", F.explode(_keys(width)).alias("band"))
+            narrow = saved(_open(_labelled(left, label)), "narrow")
+        else:
+            narrow = open_
+        picks = [F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(i))) for i in range(3)]
+        centres = narrow.where("of_main").groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("m")).select("band", F.explode("m").alias("m")).select("band", F.col("m.id").alias("b"), F.col("m.c").alias("cb"))
+        met = saved(narrow.where("not of_main").select("band", F.col("id").alias("a"), F.col("c").alias("ca")).join(centres.hint("merge"), "band").drop("band").distinct(), "met")
+        now = saved(best(met.select("a", "b").join(tested.hint("merge"), ["a", "b"], "left_anti")), "best")
+        linked = saved(_confirm(now, texts, threshold, k), "linked")
+        label = _merged(label, linked.join(met.hint("merge"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        links, tested = links.unionByName(linked), tested.unionByName(now)
+    # What is left: each member without its bucket's main label, against all members with other labels that may be similar enough.
+    open_ = _open(_labelled(open_.select("band", "i", "id"), label)).join(rep.select("id", "s", "bands").hint("merge"), "id")
+    open_ = saved(open_.select("band", "id", "c", _one_sketch().alias("s"), F.slice("bands", 1, F.col("i")).alias("earlier"), "of_main", F.ceil(F.col("size") / SPLIT).cast("int").alias("salts")), "open")
+    few = open_.where("not of_main").select("band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("earlier").alias("ea"))
+    all_ = open_.select(F.col("band").alias("band_b"), F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt_b"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("earlier").alias("eb"), "of_main")
+    # A pair is taken in the first of the bands that it shares, and nowhere else.
     meet = (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & _close_by_one("sa", "sb", threshold) & ~F.arrays_overlap("ea", "eb")
-    more = left.join(right.hint("merge"), (F.col("band") == F.col("band_b")) & meet).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-    seen = first.select("a", "b").unionByName(second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    more = saved(more.join(seen.hint("merge"), ["a", "b"], "left_anti"), "more")
-    groups = saved(components(links.unionByName(joined).unionByName(_confirm(more, texts, threshold, k))), "components")
-    named_classes = classes.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("c"))
-    found = sketched.select("id", *key).where("n > 0").join(named_classes.hint("merge"), key, "left").select("id", "n", F.coalesce("c", "id").alias("c"))
+    pairs = few.join(all_.hint("merge"), (F.col("band") == F.col("band_b")) & (F.col("salt") == F.col("salt_b")) & meet).select("a", "b", "ca", "cb").distinct()
+    pairs = saved(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    # The most similar of each goes first: what that links needs no other test.
+    for last in (False, True):
+        now = pairs if last else saved(best(pairs.select("a", "b")), "best")
+        linked = saved(_confirm(now, texts, threshold, k), "linked")
+        links = links.unionByName(linked)
+        if not last:
+            label = _merged(label, linked.join(pairs.hint("merge"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            pairs = pairs.join(now.hint("merge"), ["a", "b"], "left_anti").drop("ca", "cb")
+            for x in ("a", "b"):
+                pairs = pairs.join(label.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")).hint("merge"), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+            pairs = saved(pairs.where("ca <> cb"), "pairs")
+    label = saved(components(links), "components").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    named = _labelled(classes, label).select(*key, "c")
+    found = sketched.select("id", *key).where("n > 0").join(named.hint("merge"), key, "left").select("id", "n", F.coalesce("c", "id").alias("c"))
     out = found.unionByName(sketched.where("n = 0").select("id", "n", F.col("id").alias("c")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
