@@ -22,15 +22,37 @@ def keyword_prevalence(df: DataFrame, text: str, categories: dict[str, str]) ->
     return one.select("n_rows", F.explode(F.array(*(F.struct(F.lit(n).alias("category"), F.col(n).alias("n")) for n in categories))).alias("c")).select("c.category", "c.n", "n_rows")
 
 
+# What overrides a class's default, in this order; low confidence comes after the first.
+OVERRIDES = {"triage": "triage", "disputes": "disputing_turn", "legal_sensitive": "legal", "wants_human": "human", "churn_risk": "churn", "abusive_content": "abuse"}
+
+
 def route(df: DataFrame, defaults: dict[str, str], threshold: float = 0.5) -> DataFrame:
-    """The action of each row and its reason: low confidence, then legal, human and abuse flags, then the class default; unknown classes escalate."""
-    reason = F.when(F.col("confidence").isNull() | (F.col("confidence") < threshold), "low_confidence").when(F.col("legal_sensitive"), "legal").when(F.col("wants_human"), "human").when(F.col("abusive_content"), "abuse")
+    """The action of each row and its reason: a triage flag, low confidence, a disputing turn, legal, human, churn and abuse flags,
+    then the class default; unknown classes escalate. Null flags are no flags, nor are those that df has no column for; a null confidence is low."""
+    flagged = [(F.col(flag) if flag in df.columns else F.lit(False), why) for flag, why in OVERRIDES.items()]
+    flagged.insert(1, (F.col("confidence").isNull() | (F.col("confidence") < threshold), "low_confidence"))
+    reason = F
+    for condition, why in flagged:
+        reason = reason.when(condition, why)
     for name, action in defaults.items():
         reason = reason.when(F.col("intent") == name, f"default_{action}")
     reason = reason.otherwise("unknown_class")
     return df.withColumn("reason", reason).withColumn("pred", F.col("reason") != "default_auto")
 
 
+MISSING = "__missing__"
+
+
+def assemble(gold: DataFrame, preds: DataFrame, versions: list[str]) -> DataFrame:
+    """One row per row of gold (item, gold, escalate), with each version's class, whether it is right, and its action.
+
+    preds: (item, version, intent, pred), one row per item and version. What a version lacks is MISSING: wrong, and escalated."""
+    wide = preds.groupBy("item").pivot("version", versions).agg(F.first("intent").alias("intent"), F.first("pred").alias("pred"))
+    out = gold.join(wide.hint("merge"), "item", "left")
+    said = lambda v: F.coalesce(f"{v}_intent", F.lit(MISSING))
+    return out.select("item", "gold", "escalate", *(x for v in versions for x in (said(v).alias(f"{v}_intent"), said(v).eqNullSafe(F.col("gold")).alias(f"{v}_right"), F.coalesce(f"{v}_pred", F.lit(True)).alias(f"{v}_pred"))))
+
+
 def wilson(hits, n):
     """The bounds of the 95 % Wilson interval."""
     z, p = 1.96, hits / n
@@ -48,6 +70,21 @@ def confusion(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
 
 
+def confusion_matrix(df: DataFrame, gold: str, pred: str, classes: list[str]) -> DataFrame:
+    """A row per class of gold that occurs and a column per class in the given order, and one for missing predictions; others are not counted."""
+    said = df.select(F.col(gold).alias("gold"), F.coalesce(pred, F.lit(MISSING)).alias("said"))
+    return said.groupBy("gold").pivot("said", [*classes, MISSING]).count().na.fill(0)
+
+
+def report_averages(report: DataFrame, least: int = 0) -> DataFrame:
+    """The macro average over classes of at least that support, and the average weighted by support."""
+    macro = lambda c: F.avg(F.when(F.col("support") >= least, F.col(c)))
+    weighted = lambda c: F.sum(F.col(c) * F.col("support")) / F.sum("support")
+    one = report.agg(*(F.round(f(c), 6).alias(f"{n}_{c}") for n, f in (("macro", macro), ("weighted", weighted)) for c in ("precision", "recall", "f1")), F.sum("support").alias("support"))
+    rows = [F.struct(F.lit(n).alias("cls"), "support", *(F.col(f"{n}_{c}").alias(c) for c in ("precision", "recall", "f1"))) for n in ("macro", "weighted")]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def class_report(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support of each class, from the confusion counts."""
     c = confusion(df, gold, pred)
@@ -64,8 +101,12 @@ def bidirectional(df: DataFrame, gold: str, pred: str) -> DataFrame:
 
 
 def routing_metrics(df: DataFrame, pred: str, truth: str) -> DataFrame:
+    """Counts and rates of an escalation policy in one row; a rate of nothing is null."""
     p, t = F.col(pred), F.col(truth)
-    return df.agg(F.count("*").alias("n"), F.count_if(p == t).alias("right"), F.count_if(p).alias("escalated"), F.count_if(~p & t).alias("missed"), F.count_if(p & ~t).alias("over"))
+    one = df.agg(F.count("*").alias("n"), F.count_if(p == t).alias("right"), F.count_if(p).alias("escalated"), F.count_if(t).alias("due"), F.count_if(~p & t).alias("missed"), F.count_if(p & ~t).alias("over"))
+    rate = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
+    n, right, escalated, due, missed, over = (F.col(c) for c in ("n", "right", "escalated", "due", "missed", "over"))
+    return one.select("*", rate(right, n).alias("accuracy"), rate(escalated, n).alias("escalated_rate"), rate(escalated - over, escalated).alias("precision"), rate(due - missed, due).alias("recall"), rate(missed, due).alias("miss_rate"), rate(over, n - due).alias("false_alarm_rate"))
 
 
 def calibration(df: DataFrame, score: str, hit: str, bins: int) -> DataFrame:
@@ -75,7 +116,7 @@ def calibration(df: DataFrame, score: str, hit: str, bins: int) -> DataFrame:
 
 def paired_table(df: DataFrame, gold: str, a: str, b: str) -> DataFrame:
     x, y = F.col(a) == F.col(gold), F.col(b) == F.col(gold)
-    return df.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"), F.count_if(F.col(a) == F.col(b)).alias("agree"))
+    return df.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"), F.count_if(F.col(a) == F.col(b)).alias("agree"), F.count_if(~x & (F.col(a) == F.col(b))).alias("same_wrong"))
 
 
 def mcnemar(df: DataFrame) -> DataFrame:
@@ -86,8 +127,11 @@ def mcnemar(df: DataFrame) -> DataFrame:
 
 
 def recall_delta(df: DataFrame, gold: str, a: str, b: str) -> DataFrame:
-    share = lambda c: F.round(F.avg((F.col(c) == F.col(gold)).cast("double")), 6)
-    return df.groupBy(F.col(gold).alias("cls")).agg(F.count("*").alias("n"), share(a).alias("recall_a"), share(b).alias("recall_b"))
+    """Recall of a and b for each class with the difference, and their means over the classes as class "macro"."""
+    share = lambda c: F.avg((F.col(c) == F.col(gold)).cast("double"))
+    per = df.groupBy(F.col(gold).alias("cls")).agg(F.count("*").alias("n"), share(a).alias("ra"), share(b).alias("rb"))
+    mean = per.agg(F.lit("macro").alias("cls"), F.sum("n").alias("n"), F.avg("ra").alias("ra"), F.avg("rb").alias("rb"))
+    return per.unionByName(mean).select("cls", "n", F.round("ra", 6).alias("recall_a"), F.round("rb", 6).alias("recall_b"), F.round(F.col("rb") - F.col("ra"), 6).alias("delta"))
 
 
 def majority(df: DataFrame, cls: str) -> DataFrame:
@@ -111,10 +155,21 @@ def _docs(spark, d):
     return B.table(spark, d, "documents")
 
 
+def _assembled(spark, d):
+    """Gold with an action of each document, and two versions of predictions, of which the second lacks some."""
+    docs = B.preds(spark, d)
+    due = F.col("item") % 5 == 0
+    said = docs.select("item", F.explode(F.array(*(F.struct(F.lit(v).alias("version"), F.col(v).alias("intent"), (F.col("item") % k == 0).alias("pred")) for v, k in (("a", 4), ("b", 6))))).alias("x")).select("item", "x.*")
+    return docs.select("item", "gold", due.alias("escalate")), said.where("version = 'a' or item % 7 <> 0")
+
+
 QUERIES = {
     "volume": lambda s, d: volume(B.table(s, d, "events"), "event_type", 10),
     "keyword_prevalence": lambda s, d: keyword_prevalence(_docs(s, d), "text", CATEGORIES),
     "mid_thread_share": lambda s, d: B.msgs(s, d).groupBy("author").agg(F.count("*").alias("n"), F.round(F.avg(F.col("reply_to").isNotNull().cast("double")), 6).alias("share")),
+    "assemble": lambda s, d: assemble(*_assembled(s, d), ["a", "b"]),
+    "confusion_matrix": lambda s, d: confusion_matrix(assemble(*_assembled(s, d), ["a", "b"]), "gold", "b_intent", ["en", "de", "fr", "es"]),
+    "report_averages": lambda s, d: report_averages(class_report(B.preds(s, d), "gold", "a"), 20),
     "route": lambda s, d: route(B.route_in(s, d), DEFAULTS).select("item", "reason", "pred"),
     "routing_metrics": lambda s, d: routing_metrics(route(B.route_in(s, d), DEFAULTS), "pred", "escalate"),
     "accuracy": lambda s, d: accuracy(B.preds(s, d), "gold", "a", "gold").withColumnRenamed("gold", "cls"),
@@ -132,14 +187,18 @@ QUERIES = {
     "over_quota": lambda s, d: over_quota(B.table(s, d, "events"), "user_id", "ts", 86400, 3).select("event_id", "calls"),
 }
 _W = "hits / n::DOUBLE"
+_ASSEMBLED = f"assembled AS (SELECT item, gold, item % 5 = 0 AS escalate, a AS a_intent, a = gold AS a_right, item % 4 = 0 AS a_pred, CASE WHEN item % 7 = 0 THEN '{MISSING}' ELSE b END AS b_intent, item % 7 <> 0 AND b = gold AS b_right, item % 7 = 0 OR item % 6 = 0 AS b_pred FROM preds)"
+_AVERAGES = ", ".join(f"round({{f}}{c}{{g}}, 6) AS {c}" for c in ("precision", "recall", "f1"))
 ORACLE_SQL = {
     "volume": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10",
     "keyword_prevalence": " UNION ALL ".join(f"SELECT '{n}' AS category, count(*) FILTER (regexp_matches(text, '{p}')) AS n, count(*) AS n_rows FROM documents" for n, p in CATEGORIES.items()),
     "mid_thread_share": f"WITH {B.SQL_MSGS} SELECT author, count(*) AS n, round(avg(CASE WHEN reply_to IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share FROM msgs GROUP BY author",
     "confusion": f"WITH {B.SQL_PREDS} SELECT gold, a AS pred, count(*) AS n FROM preds GROUP BY ALL",
     "confused_pairs": f"WITH {B.SQL_PREDS} SELECT gold, a AS pred, count(*) AS n FROM preds WHERE gold <> a GROUP BY ALL ORDER BY n DESC, gold, pred LIMIT 5",
-    "paired_table": f"WITH {B.SQL_PREDS} SELECT count(*) FILTER (a = gold AND b = gold) AS both, count(*) FILTER (a = gold AND b <> gold) AS only_a, count(*) FILTER (a <> gold AND b = gold) AS only_b, count(*) FILTER (a <> gold AND b <> gold) AS neither, count(*) FILTER (a = b) AS agree FROM preds",
-    "recall_delta": f"WITH {B.SQL_PREDS} SELECT gold AS cls, count(*) AS n, round(avg((a = gold)::INT), 6) AS recall_a, round(avg((b = gold)::INT), 6) AS recall_b FROM preds GROUP BY gold",
+    "paired_table": f"WITH {B.SQL_PREDS} SELECT count(*) FILTER (a = gold AND b = gold) AS both, count(*) FILTER (a = gold AND b <> gold) AS only_a, count(*) FILTER (a <> gold AND b = gold) AS only_b, count(*) FILTER (a <> gold AND b <> gold) AS neither, count(*) FILTER (a = b) AS agree, count(*) FILTER (a = b AND a <> gold) AS same_wrong FROM preds",
+    "recall_delta": f"WITH {B.SQL_PREDS}, per AS (SELECT gold AS cls, count(*) AS n, avg((a = gold)::INT) AS ra, avg((b = gold)::INT) AS rb FROM preds GROUP BY gold), r AS (SELECT * FROM per UNION ALL SELECT 'macro', CAST(sum(n) AS BIGINT), avg(ra), avg(rb) FROM per) SELECT cls, n, round(ra, 6) AS recall_a, round(rb, 6) AS recall_b, round(rb - ra, 6) AS delta FROM r",
+    "assemble": f"WITH {B.SQL_PREDS}, {_ASSEMBLED} SELECT * FROM assembled",
+    "confusion_matrix": f"WITH {B.SQL_PREDS}, {_ASSEMBLED} SELECT gold, " + ", ".join(f"count(*) FILTER (b_intent = '{c}') AS {c}" for c in ("en", "de", "fr", "es", MISSING)) + " FROM assembled GROUP BY gold",
     "majority": f"WITH {B.SQL_GOLD}, c AS (SELECT lang, count(*) AS n FROM gold GROUP BY lang) SELECT arg_max(lang, (n, lang)) AS majority, round(max(n) / sum(n)::DOUBLE, 6) AS share, round(sum(pow(n, 2)) / pow(sum(n), 2), 6) AS chance FROM c",
     "fixes_breaks": f"WITH {B.SQL_PREDS} SELECT item, CASE WHEN b = gold THEN 'fixed' ELSE 'broken' END AS kind FROM preds WHERE (a = gold) <> (b = gold)",
     "accuracy": f"WITH {B.SQL_PREDS}, c AS (SELECT gold AS cls, count(*) AS n, count(*) FILTER (a = gold) AS hits FROM preds GROUP BY gold) SELECT cls, n, hits, round({_W}, 6) AS accuracy, " + ", ".join(f"round(({_W} + 1.96 * 1.96 / (2 * n) {op} 1.96 * sqrt({_W} * (1 - {_W}) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS {name}" for op, name in (("-", "low"), ("+", "high"))) + " FROM c",
@@ -149,9 +208,13 @@ ORACLE_SQL = {
     "over_quota": "SELECT event_id, calls FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS calls FROM events) WHERE calls > 3",
     "fingerprint": "WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, '~'), coalesce(lang, '~'), coalesce(source, '~'), coalesce(n_chars::VARCHAR, '~'), coalesce(text, '~'))), 1, 8) AS BIGINT) AS h FROM documents) SELECT count(*) AS n_rows, bit_xor(h) AS xor, CAST(sum(h) AS BIGINT) AS total FROM h",
 }
-_ROUTED = f"{B.SQL_ROUTE}, r AS (SELECT *, CASE WHEN confidence IS NULL OR confidence < 0.5 THEN 'low_confidence' WHEN legal_sensitive THEN 'legal' WHEN wants_human THEN 'human' WHEN abusive_content THEN 'abuse' " + " ".join(f"WHEN intent = '{n}' THEN 'default_{a}'" for n, a in DEFAULTS.items()) + " ELSE 'unknown_class' END AS reason FROM route_in)"
+_overrides = [f"WHEN {flag} THEN '{why}'" for flag, why in OVERRIDES.items()]
+_overrides.insert(1, "WHEN confidence IS NULL OR confidence < 0.5 THEN 'low_confidence'")
+_ROUTED = f"{B.SQL_ROUTE}, r AS (SELECT *, CASE {' '.join(_overrides)} " + " ".join(f"WHEN intent = '{n}' THEN 'default_{a}'" for n, a in DEFAULTS.items()) + " ELSE 'unknown_class' END AS reason FROM route_in)"
+_rates = ", ".join(f"round({a} / nullif({b}, 0)::DOUBLE, 6) AS {n}" for a, b, n in (('"right"', "n", "accuracy"), ("escalated", "n", "escalated_rate"), ("(escalated - over)", "escalated", "precision"), ("(due - missed)", "due", "recall"), ("missed", "due", "miss_rate"), ("over", "(n - due)", "false_alarm_rate")))
 ORACLE_SQL |= {
     "route": f"WITH {_ROUTED} SELECT item, reason, reason <> 'default_auto' AS pred FROM r",
-    "routing_metrics": f"WITH {_ROUTED}, p AS (SELECT escalate AS t, reason <> 'default_auto' AS p FROM r) SELECT count(*) AS n, count(*) FILTER (p = t) AS \"right\", count(*) FILTER (p) AS escalated, count(*) FILTER (NOT p AND t) AS missed, count(*) FILTER (p AND NOT t) AS over FROM p",
+    "routing_metrics": f"WITH {_ROUTED}, p AS (SELECT escalate AS t, reason <> 'default_auto' AS p FROM r), m AS (SELECT count(*) AS n, count(*) FILTER (p = t) AS \"right\", count(*) FILTER (p) AS escalated, count(*) FILTER (t) AS due, count(*) FILTER (NOT p AND t) AS missed, count(*) FILTER (p AND NOT t) AS over FROM p) SELECT *, {_rates} FROM m",
+    "report_averages": f"WITH c AS ({ORACLE_SQL['class_report']}) SELECT 'macro' AS cls, CAST(sum(support) AS BIGINT) AS support, {_AVERAGES.format(f='avg(CASE WHEN support >= 20 THEN ', g=' END)')} FROM c UNION ALL SELECT 'weighted', CAST(sum(support) AS BIGINT), {_AVERAGES.format(f='sum(support * ', g=') / sum(support)')} FROM c",
     "mcnemar": f"WITH {B.SQL_PREDS}, t AS (SELECT count(*) FILTER (a = gold AND b <> gold) AS only_a, count(*) FILTER (a <> gold AND b = gold) AS only_b FROM preds) SELECT only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))) FROM range(0, 100000) g(i) WHERE i <= least(only_a, only_b))) END, 6) AS p FROM t",
 }

@@ -46,6 +46,7 @@ def route_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold(spark, sf_dir).select(
         F.col("doc_id").alias("item"), F.col("lang").alias("intent"), (uniform("doc_id", 1) / 4294967295.0).alias("confidence"),
         (F.col("n_chars") > 4000).alias("legal_sensitive"), F.col("text").rlike("(?i)stupid|idiot|scum").alias("abusive_content"), (F.col("n_chars") < 60).alias("wants_human"), (F.col("toxic") == 1).alias("escalate"),
+        (uniform("doc_id", 21) % 50 == 0).alias("triage"), (uniform("doc_id", 22) % 25 == 0).alias("disputes"), (uniform("doc_id", 23) % 40 == 0).alias("churn_risk"),
     )
 
 
@@ -60,4 +61,4 @@ def sql_uniform(id_col: str, seed: int) -> str:
 
 
 SQL_ROUTE = f"""{SQL_GOLD}, route_in AS (SELECT doc_id AS item, lang AS intent, {sql_uniform("doc_id", 1)} / 4294967295.0 AS confidence, n_chars > 4000 AS legal_sensitive,
-    regexp_matches(text, '(?i)stupid|idiot|scum') AS abusive_content, n_chars < 60 AS wants_human, toxic = 1 AS escalate FROM gold)"""
+    regexp_matches(text, '(?i)stupid|idiot|scum') AS abusive_content, n_chars < 60 AS wants_human, toxic = 1 AS escalate, {sql_uniform("doc_id", 21)} % 50 = 0 AS triage, {sql_uniform("doc_id", 22)} % 25 = 0 AS disputes, {sql_uniform("doc_id", 23)} % 40 = 0 AS churn_risk FROM gold)"""

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from convan.functions.scratch import new_path, ranked
 from convan.operators.editing import apply_edits
+from convan.operators.evaluation import assemble, confusion_matrix, route
 from convan.operators.guard import HOSTS, NO_CONTENT, STOP_WORDS, guard_verdicts, is_generic, sanitize
 from convan.operators.judging import paired_difference
 from convan.operators.policies import route_triggers, select_rule, vote_summary
+from convan.operators.text import contaminated
 from convan.operators.threads import dedupe
 from convan.operators.vectors import vector_top_k
 from convan.sources.files import append_checked, parse_tweet_time, read_messages, write_frozen
@@ -83,3 +85,33 @@ def test_times_and_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text('msg_id,author,inbound,created_at,text,reply_to\n1,u,true,x,"a ""b""\n😀",\n')
     r = read_messages(spark, f"file://{tmp_path}/m.csv").first()
     assert (r.text, r.inbound, r.reply_to) == ('a "b"\n😀', True, None)
+
+
+def test_route_in_order(spark):
+    flags = ("triage", "disputes", "legal_sensitive", "wants_human", "churn_risk", "abusive_content")
+    rows = [(0, "en", 0.1, *[True] * 6)] + [(k, "en", 0.9, *[i >= k - 1 for i in range(6)]) for k in range(1, 8)] + [(8, "fr", 0.9, *[None] * 6), (9, "xx", 0.9, *[False] * 6), (10, "en", None, *[False] * 6), (11, "en", 0.4, *[False, *[True] * 5])]
+    df = spark.createDataFrame(rows, "item int, intent string, confidence double, " + ", ".join(f"{f} boolean" for f in flags))
+    got = {r.item: (r.reason, r.pred) for r in route(df, {"en": "auto", "fr": "escalate"}).collect()}
+    want = ["triage", "triage", "disputing_turn", "legal", "human", "churn", "abuse", "default_auto", "default_escalate", "unknown_class", "low_confidence", "low_confidence"]
+    assert got == {i: (x, x != "default_auto") for i, x in enumerate(want)}
+    assert route(df.select("item", "intent", "confidence"), {"en": "auto"}).where("item = 1").first().reason == "default_auto"
+
+
+def test_assemble_counts_missing_as_wrong_and_escalated(spark):
+    gold = spark.createDataFrame([(1, "en", False), (2, None, True), (3, "de", False)], "item int, gold string, escalate boolean")
+    preds = spark.createDataFrame([(1, "a", "en", False), (2, "a", None, None), (9, "a", "en", False)], "item int, version string, intent string, pred boolean")
+    got = {r.item: tuple(r)[3:] for r in assemble(gold, preds, ["a", "b"]).collect()}
+    lost = ("__missing__", False, True)
+    assert got == {1: ("en", True, False, *lost), 2: (*lost, *lost), 3: (*lost, *lost)}
+    m = {r.gold: tuple(r)[1:] for r in confusion_matrix(assemble(gold, preds, ["a", "b"]), "gold", "a_intent", ["en", "de"]).collect()}
+    assert m == {"en": (1, 0, 0), None: (0, 0, 1), "de": (0, 0, 1)}
+
+
+def test_contaminated_at_every_offset(spark):
+    """A shared window is found wherever it lies in a text, over block borders too."""
+    item = "the quick brown fox jumps over the lazy dog again and again until night"
+    texts = [(k, "z" * k + " " + item[5:45] + " " + "y" * (700 - k)) for k in range(0, 700, 13)] + [(1000, item[5:44]), (1001, None), (1002, "short one"), (1003, "z" * 900)]
+    refs = spark.createDataFrame([(1, item), (2, "short one"), (3, None)], "item_id int, text string")
+    got = {r.doc_id: r.hits for r in contaminated(spark.createDataFrame(texts, "doc_id int, text string"), refs, "doc_id", "item_id", "text").collect()}
+    own = {i: len({t[a : a + 40] for a in range(len(t) - 39)} & {item[a : a + 40] for a in range(len(item) - 39)}) for i, t in texts if t and len(t) >= 40}
+    assert got == {i: n for i, n in own.items() if n} | {1002: 1}
