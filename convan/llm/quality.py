@@ -145,7 +145,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.flat = float(y.mean()) if len(y) else 0.5
-        self.fitted = 0 < self.flat < 1
+        self.fitted = len(y) > 0 and 0 < self.flat < 1
         if not self.fitted:
             return
         rng = np.random.default_rng(SEED)
@@ -170,8 +170,9 @@ class Network:
                 self.p[k] = self.p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         logits, truth = self.logits(x[apart]), y[apart]
         grid = np.geomspace(0.25, 8, 41)
-        loss = [np.logaddexp(0, np.where(truth == 1, -logits, logits) / t).mean() if len(truth) else 0 for t in grid]
-        self.temperature = float(grid[int(np.argmin(loss))]) if len(truth) >= 50 else 1.0
+        # A weak prior around 1 stands in for rows where there are few.
+        loss = [np.logaddexp(0, np.where(truth == 1, -logits, logits) / t).sum() + 2 * np.log(t) ** 2 for t in grid]
+        self.temperature = float(grid[int(np.argmin(loss))])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", id_col: st
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "_id").select("t", F.col("_y").alias("y"))  # at most FIT_ROWS rows are sent
     got = rows.mapInPandas(vectorise, "x array<double>, y double").toPandas()
-    x = np.array(got["x"].tolist()).reshape(len(got), -1)
+    x = np.array(got["x"].tolist()).reshape(len(got), 2 * DIM + 2)
     order = np.lexsort([*x.T[:3], got["y"]])  # the same fit whatever order the rows came in
     return vectors, Network(x[order], got["y"].to_numpy()[order])
 
