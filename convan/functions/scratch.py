@@ -27,6 +27,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """The sum of value over all rows up to each in an order, without a task that sees them all; the order must be total.
+
+    Rows are dealt by ranges and written; each range sums its own and adds the sums of the ranges before. What is broadcast
+    has one row per range."""
+    cols = df.columns
+    dealt = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_s"))
+    before = sums.select("_part", (F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_s")).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("_k", inside).join(F.broadcast(before), "_part").select(*cols, (F.col("_k") + F.col("_before")).alias(name))
+
+
 def ranked(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
     """Rows numbered from 1 in an order, per value of `by` or over the whole table, without a task that sees them all.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convan.functions.scratch import ranked
 from convan.plans import bindings as B
 
 # Keyword categories and the routing policy of the test classes.
@@ -114,6 +115,28 @@ def calibration(df: DataFrame, score: str, hit: str, bins: int) -> DataFrame:
     return df.groupBy(b).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("confidence"), F.round(F.avg(F.col(hit).cast("double")), 6).alias("accuracy"))
 
 
+def calibration_gap(df: DataFrame, score: str, hit: str, cut: float = 0.5, least: int = 20) -> DataFrame:
+    """Rows and accuracy below and from the cut, and the gap between them; null where a side has fewer than `least` rows. Null scores count on neither side."""
+    high = F.col(score) >= cut
+    share = lambda side: F.round(F.avg(F.when(side, F.col(hit).cast("double"))), 6)
+    one = df.agg(F.count_if(~high).alias("n_low"), F.count_if(high).alias("n_high"), share(~high).alias("low"), share(high).alias("high"))
+    return one.withColumn("gap", F.when((F.col("n_low") >= least) & (F.col("n_high") >= least), F.round(F.col("high") - F.col("low"), 6)))
+
+
+def fixes_breaks(df: DataFrame, key: str, gold: str, a: str, b: str, text: str, most: int = 120) -> DataFrame:
+    """Rows that b gets right and a wrong (fixed) or the other way round (broken), with the text on one line and cut to so many letters."""
+    x, y = F.col(a).eqNullSafe(F.col(gold)), F.col(b).eqNullSafe(F.col(gold))
+    line = F.left(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\r\\n]+", " ")), F.lit(most))
+    return df.where(x != y).select(key, F.when(y, "fixed").otherwise("broken").alias("kind"), line.alias("text"))
+
+
+def majority_baseline(train: DataFrame, test: DataFrame, key: str, cls: str, reply: str) -> DataFrame:
+    """What the simplest baseline says of each test row: the class that most training rows have (of several the last by name), one
+    fixed reply, and always escalate. Without training rows the class is null."""
+    top = train.groupBy(cls).agg(F.count("*").alias("n")).agg(F.max_by(cls, F.struct("n", cls)).alias("pred"))  # one row
+    return test.select(key, F.col(cls).alias("gold")).crossJoin(F.broadcast(top)).withColumn("reply", F.lit(reply)).withColumn("escalate", F.lit(True))
+
+
 def paired_table(df: DataFrame, gold: str, a: str, b: str) -> DataFrame:
     x, y = F.col(a) == F.col(gold), F.col(b) == F.col(gold)
     return df.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"), F.count_if(F.col(a) == F.col(b)).alias("agree"), F.count_if(~x & (F.col(a) == F.col(b))).alias("same_wrong"))
@@ -139,10 +162,18 @@ def majority(df: DataFrame, cls: str) -> DataFrame:
     return c.agg(F.max_by(cls, F.struct("n", cls)).alias("majority"), F.round(F.max("n") / F.sum("n"), 6).alias("share"), F.round(F.sum(F.pow(F.col("n"), F.lit(2.0))) / F.pow(F.sum("n"), F.lit(2.0)), 6).alias("chance"))
 
 
-def fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows, and an order-free hash of the rows' contents."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols))), 1, 8), 16, 10).cast("long")
-    return df.select(h.alias("h")).agg(F.count("*").alias("n_rows"), F.bit_xor("h").alias("xor"), F.sum("h").alias("total"))
+def fingerprint(df: DataFrame, cols: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows, and a hash of 64 bits of the rows' contents, with sums of its halves; line ends of \\r\\n count as \\n.
+
+    Without an order the rows' order doesn't count. With one, which must be total, each row's number is hashed with it."""
+    if order is not None:
+        df = ranked(df.select(*dict.fromkeys([*cols, *order])), [F.col(c) for c in order], name="_rank")
+        cols = ["_rank", *cols]
+    hexed = F.md5(F.concat_ws("|", *(F.coalesce(F.replace(F.col(c).cast("string"), F.lit("\r\n"), F.lit("\n")), F.lit("~")) for c in cols)))
+    half = lambda at: F.conv(F.substring(hexed, at, 8), 16, 10).cast("long")
+    one = df.select(half(1).alias("h"), half(9).alias("l")).agg(F.count("*").alias("n_rows"), F.bit_xor("h").alias("_h"), F.bit_xor("l").alias("_l"), F.sum("h").alias("total"), F.sum("l").alias("total_low"))
+    digits = lambda c: F.lpad(F.lower(F.hex(F.coalesce(c, F.lit(0)))), 8, "0")
+    return one.select("n_rows", F.concat(digits("_h"), digits("_l")).alias("xor"), "total", "total_low")
 
 
 def over_quota(df: DataFrame, key: str, ts: str, seconds: int, cap: int) -> DataFrame:
@@ -182,13 +213,24 @@ QUERIES = {
     "mcnemar": lambda s, d: mcnemar(paired_table(B.preds(s, d), "gold", "a", "b")),
     "recall_delta": lambda s, d: recall_delta(B.preds(s, d), "gold", "a", "b"),
     "majority": lambda s, d: majority(B.gold(s, d), "lang"),
-    "fixes_breaks": lambda s, d: B.preds(s, d).select("item", F.when((F.col("a") != F.col("gold")) & (F.col("b") == F.col("gold")), "fixed").when((F.col("a") == F.col("gold")) & (F.col("b") != F.col("gold")), "broken").alias("kind")).where("kind is not null"),
+    "fixes_breaks": lambda s, d: fixes_breaks(B.preds(s, d).join(_docs(s, d).select(F.col("doc_id").alias("item"), "text").hint("merge"), "item"), "item", "gold", "a", "b", "text"),
+    "calibration_gap": lambda s, d: calibration_gap(B.route_in(s, d), "confidence", "escalate"),
+    "majority_baseline": lambda s, d: majority_baseline(B.gold(s, d).where("doc_id % 3 > 0"), B.gold(s, d).where("doc_id % 3 = 0"), "doc_id", "lang", "We will look into it."),
     "fingerprint": lambda s, d: fingerprint(_docs(s, d), ["doc_id", "lang", "source", "n_chars", "text"]),
+    "fingerprint_ordered": lambda s, d: fingerprint(_docs(s, d), ["lang", "text"], ["n_chars", "doc_id"]),
     "over_quota": lambda s, d: over_quota(B.table(s, d, "events"), "user_id", "ts", 86400, 3).select("event_id", "calls"),
 }
 _W = "hits / n::DOUBLE"
 _ASSEMBLED = f"assembled AS (SELECT item, gold, item % 5 = 0 AS escalate, a AS a_intent, a = gold AS a_right, item % 4 = 0 AS a_pred, CASE WHEN item % 7 = 0 THEN '{MISSING}' ELSE b END AS b_intent, item % 7 <> 0 AND b = gold AS b_right, item % 7 = 0 OR item % 6 = 0 AS b_pred FROM preds)"
 _AVERAGES = ", ".join(f"round({{f}}{c}{{g}}, 6) AS {c}" for c in ("precision", "recall", "f1"))
+
+
+def _hashed(source: str, cols: list[str]) -> str:
+    row = "md5(concat_ws('|', " + ", ".join(f"coalesce(replace({c}, chr(13) || chr(10), chr(10)), '~')" for c in cols) + "))"
+    half = lambda at: f"CAST('0x' || substr(m, {at}, 8) AS BIGINT)"
+    return f"WITH m AS (SELECT {row} AS m FROM {source}), h AS (SELECT {half(1)} AS h, {half(9)} AS l FROM m) SELECT count(*) AS n_rows, format('{{:08x}}{{:08x}}', coalesce(bit_xor(h), 0), coalesce(bit_xor(l), 0)) AS xor, CAST(sum(h) AS BIGINT) AS total, CAST(sum(l) AS BIGINT) AS total_low FROM h"
+
+
 ORACLE_SQL = {
     "volume": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10",
     "keyword_prevalence": " UNION ALL ".join(f"SELECT '{n}' AS category, count(*) FILTER (regexp_matches(text, '{p}')) AS n, count(*) AS n_rows FROM documents" for n, p in CATEGORIES.items()),
@@ -200,13 +242,16 @@ ORACLE_SQL = {
     "assemble": f"WITH {B.SQL_PREDS}, {_ASSEMBLED} SELECT * FROM assembled",
     "confusion_matrix": f"WITH {B.SQL_PREDS}, {_ASSEMBLED} SELECT gold, " + ", ".join(f"count(*) FILTER (b_intent = '{c}') AS {c}" for c in ("en", "de", "fr", "es", MISSING)) + " FROM assembled GROUP BY gold",
     "majority": f"WITH {B.SQL_GOLD}, c AS (SELECT lang, count(*) AS n FROM gold GROUP BY lang) SELECT arg_max(lang, (n, lang)) AS majority, round(max(n) / sum(n)::DOUBLE, 6) AS share, round(sum(pow(n, 2)) / pow(sum(n), 2), 6) AS chance FROM c",
-    "fixes_breaks": f"WITH {B.SQL_PREDS} SELECT item, CASE WHEN b = gold THEN 'fixed' ELSE 'broken' END AS kind FROM preds WHERE (a = gold) <> (b = gold)",
+    "fixes_breaks": f"WITH {B.SQL_PREDS} SELECT item, CASE WHEN b = gold THEN 'fixed' ELSE 'broken' END AS kind, left(trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g')), 120) AS text FROM preds JOIN documents ON item = doc_id WHERE (a = gold) <> (b = gold)",
+    "calibration_gap": f"WITH {B.SQL_ROUTE}, c AS (SELECT count(*) FILTER (confidence < 0.5) AS n_low, count(*) FILTER (confidence >= 0.5) AS n_high, round(avg(escalate::INT) FILTER (confidence < 0.5), 6) AS low, round(avg(escalate::INT) FILTER (confidence >= 0.5), 6) AS high FROM route_in) SELECT *, CASE WHEN n_low >= 20 AND n_high >= 20 THEN round(high - low, 6) END AS gap FROM c",
+    "majority_baseline": f"WITH {B.SQL_GOLD}, t AS (SELECT lang, count(*) AS n FROM gold WHERE doc_id % 3 > 0 GROUP BY lang) SELECT doc_id, lang AS gold, (SELECT arg_max(lang, (n, lang)) FROM t) AS pred, 'We will look into it.' AS reply, true AS escalate FROM gold WHERE doc_id % 3 = 0",
     "accuracy": f"WITH {B.SQL_PREDS}, c AS (SELECT gold AS cls, count(*) AS n, count(*) FILTER (a = gold) AS hits FROM preds GROUP BY gold) SELECT cls, n, hits, round({_W}, 6) AS accuracy, " + ", ".join(f"round(({_W} + 1.96 * 1.96 / (2 * n) {op} 1.96 * sqrt({_W} * (1 - {_W}) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS {name}" for op, name in (("-", "low"), ("+", "high"))) + " FROM c",
     "class_report": f"WITH {B.SQL_PREDS}, s AS (SELECT c AS cls, count(*) FILTER (gold = c) AS support, count(*) FILTER (a = c) AS said, count(*) FILTER (gold = c AND a = c) AS hit FROM preds, (SELECT gold AS c FROM preds UNION SELECT a FROM preds) GROUP BY c) SELECT cls, support, round(coalesce(hit / nullif(said, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(hit / nullif(support, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * hit / nullif(said + support, 0)::DOUBLE, 0), 6) AS f1 FROM s",
     "bidirectional": f"WITH {B.SQL_PREDS} SELECT least(gold, b) AS x, greatest(gold, b) AS y, count(*) FILTER (gold < b) AS n_xy, count(*) FILTER (gold > b) AS n_yx FROM preds WHERE gold <> b GROUP BY ALL",
     "calibration": f"WITH {B.SQL_ROUTE} SELECT CAST(least(floor(confidence * 5), 4) AS BIGINT) AS bin, count(*) AS n, round(avg(confidence), 6) AS confidence, round(avg(escalate::INT), 6) AS accuracy FROM route_in GROUP BY ALL",
     "over_quota": "SELECT event_id, calls FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS calls FROM events) WHERE calls > 3",
-    "fingerprint": "WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, '~'), coalesce(lang, '~'), coalesce(source, '~'), coalesce(n_chars::VARCHAR, '~'), coalesce(text, '~'))), 1, 8) AS BIGINT) AS h FROM documents) SELECT count(*) AS n_rows, bit_xor(h) AS xor, CAST(sum(h) AS BIGINT) AS total FROM h",
+    "fingerprint": _hashed("documents", ["doc_id::VARCHAR", "lang", "source", "n_chars::VARCHAR", "text"]),
+    "fingerprint_ordered": _hashed("(SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) AS k FROM documents)", ["k::VARCHAR", "lang", "text"]),
 }
 _overrides = [f"WHEN {flag} THEN '{why}'" for flag, why in OVERRIDES.items()]
 _overrides.insert(1, "WHEN confidence IS NULL OR confidence < 0.5 THEN 'low_confidence'")

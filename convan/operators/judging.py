@@ -19,6 +19,12 @@ def field_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg((x == y).cast("double")), 6).alias("exact"), F.count_if((x == "") & (y == "")).alias("both_blank"), F.countDistinct(x).alias("values_a"), F.countDistinct(y).alias("values_b"))
 
 
+def field_distribution(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of each value in either of two columns; blank and null are one value."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("value")) for f in (a, b)))).alias("x"))
+    return long.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+
+
 def flag_agreement(df: DataFrame, a: str, b: str, flags: list[str]) -> DataFrame:
     """Precision, recall and F1 of each flag in a set column b against a; a flag that neither sets is marked as never set."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.array_contains(a, f).alias("t"), F.array_contains(b, f).alias("p")) for f in flags))).alias("x")).select("x.*")
@@ -35,6 +41,11 @@ def window_accuracy(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
     return r.crossJoin(F.broadcast(size)).groupBy(chunk).agg(F.count("*").alias("n"), F.round(F.avg("_hit"), 6).alias("accuracy")).where("n >= 5")
 
 
+def window_range(windows: DataFrame) -> DataFrame:
+    """Windows, the least and greatest accuracy among them, and the range."""
+    return windows.agg(F.count("*").alias("n_windows"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most"), F.round(F.max("accuracy") - F.min("accuracy"), 6).alias("range"))
+
+
 def boundary_table(df: DataFrame, gold: str, a: str, b: str, sides: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
     """Per pair of class sets, over rows whose gold label is in either: accuracy of two versions, and errors across the boundary."""
     cells = []
@@ -52,6 +63,19 @@ def version_effect(df: DataFrame, pred: str, versions: list[str]) -> DataFrame:
     return long.groupBy("x.version").agg(F.count("*").alias("n_rows"), F.count("x.label").alias("n_scored"), F.count_if(F.col("x.label") == F.col(pred)).alias("n_right"))
 
 
+def version_moves(df: DataFrame, key: str, pred: str, old: str, new: str) -> DataFrame:
+    """Rows whose label moved from one version to the next, with the effect on the prediction's score: 1, -1 or 0; excluded where either label is null (then 0)."""
+    hit = lambda v: (F.col(v) == F.col(pred)).cast("int")
+    return df.where(~F.col(old).eqNullSafe(F.col(new))).select(key, F.col(old).alias("old"), F.col(new).alias("new"), F.coalesce(hit(new) - hit(old), F.lit(0)).alias("effect"), (F.col(old).isNull() | F.col(new).isNull()).alias("excluded"))
+
+
+def version_classes(df: DataFrame, pred: str, old: str, new: str) -> DataFrame:
+    """Per class that either version has: accuracy under each, and whether it improved, worsened or stayed; a class that a version lacks has no accuracy there and counts as not comparable."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(v).alias("v"), F.col(c).alias("cls"), (F.col(c) == F.col(pred)).cast("double").alias("hit")) for v, c in (("old", old), ("new", new))))).alias("x")).select("x.*").where("cls is not null")
+    per = long.groupBy("cls").agg(*(F.round(F.avg(F.when(F.col("v") == v, F.col("hit"))), 6).alias(v) for v in ("old", "new")))
+    return per.withColumn("change", F.when(F.col("old").isNull() | F.col("new").isNull(), "not comparable").when(F.col("new") > F.col("old"), "improved").when(F.col("new") < F.col("old"), "worsened").otherwise("same"))
+
+
 def adjudication_rollup(df: DataFrame, cls: str, verdict: str) -> DataFrame:
     """Verdicts per class: for the label, for the model, open, and the accuracy now, after, and at best (open rows won)."""
     v = F.col(verdict)
@@ -70,6 +94,14 @@ def rule_violations(df: DataFrame, key: str, label: str, rule: str, winners: dic
     return df.select(key, rule, label, problem.alias("problem"), F.col(key).isin(exceptions).alias("known")).where("problem is not null")
 
 
+def stale_exceptions(df: DataFrame, key: str, violations: DataFrame, exceptions: list[int]) -> DataFrame:
+    """Listed exceptions that aren't real any more: their row is gone, or breaks no rule now."""
+    listed = df.sparkSession.createDataFrame([(e,) for e in sorted(set(exceptions))], f"{key} long")
+    there = df.where(F.col(key).isin(exceptions)).select(key).distinct().withColumn("_there", F.lit(True))
+    out = listed.join(violations.where("known").select(key).hint("merge"), key, "left_anti").join(there.hint("merge"), key, "left")
+    return out.select(key, F.when(F.col("_there"), "no violation").otherwise("no row").alias("reason"))
+
+
 def score_table(evals: DataFrame) -> DataFrame:
     """Mean score and share of deflections per judge, rubric and config; groups are never pooled. Marks judges of the config's own family."""
     g = evals.groupBy("judge", "rubric", "config").agg(F.count("*").alias("n"), F.round(F.avg("overall"), 6).alias("overall"), F.round(F.avg(F.col("deflects").cast("double")), 6).alias("deflection"))
@@ -77,10 +109,13 @@ def score_table(evals: DataFrame) -> DataFrame:
 
 
 def judge_pair(evals: DataFrame, a: str, b: str) -> DataFrame:
-    """Two judges on the items and configs that both scored, each by its last verdict."""
-    last = lambda j, n: evals.where(F.col("judge") == j).groupBy("item", "config").agg(F.max_by("overall", F.struct("at", "overall")).alias(n))
+    """Two judges on the items and configs that both scored under the rubric that most judges used (of several the last by
+    name), each by its last verdict: agreement of scores and of the deflection flag."""
+    used = evals.groupBy("rubric").agg(F.countDistinct("judge").alias("n")).agg(F.max_by("rubric", F.struct("n", "rubric")).alias("rubric"))  # one row
+    evals = evals.join(F.broadcast(used), "rubric", "left_semi")
+    last = lambda j, n: evals.where(F.col("judge") == j).groupBy("item", "config").agg(F.max_by("overall", F.struct("at", "overall")).alias(n), F.max_by("deflects", F.struct("at", "overall")).alias(f"_{n}"))
     p = last(a, "x").join(last(b, "y").hint("merge"), ["item", "config"])
-    return p.agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("exact"), F.count_if(F.abs(F.col("x") - F.col("y")) <= 1).alias("within_1"), F.round(F.avg(F.col("x") - F.col("y")), 6).alias("bias"))
+    return p.agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("exact"), F.count_if(F.abs(F.col("x") - F.col("y")) <= 1).alias("within_1"), F.round(F.avg(F.col("x") - F.col("y")), 6).alias("bias"), F.round(F.avg(F.col("_x").eqNullSafe(F.col("_y")).cast("double")), 6).alias("same_flag"))
 
 
 def fixed_text_spread(evals: DataFrame) -> DataFrame:
@@ -166,20 +201,40 @@ def _evals(s, d):
     return B.table(s, d, "documents").select(F.col("doc_id").alias("item"), F.lit("v2").alias("rubric"), (F.col("n_chars") < 60).alias("deflects"), F.col("doc_id").alias("at"), F.explode(cells).alias("c")).select("item", "rubric", "deflects", "at", "c.*")
 
 
+def _two_rubrics(s, d):
+    """Scores of which one judge gave some under another rubric, and whose flags differ by judge."""
+    other = (F.col("judge") == "h/y") & (F.col("item") % 7 == 0)
+    return _evals(s, d).withColumn("rubric", F.when(other, "v3").otherwise(F.col("rubric"))).withColumn("deflects", F.col("deflects") | ((F.col("judge") == "h/y") & (F.col("item") % 5 == 0)))
+
+
 SIDES = {"de_fr": (["de"], ["fr"]), "en_es": (["en"], ["es"]), "north_south": (["en", "de"], ["fr", "es"])}
 _flagged = lambda s, d: B.route_in(s, d).select(*(F.array_compact(F.array(*(F.when(F.col(x), F.lit(n)) for n, x in p))).alias(c) for c, p in (("x", (("legal", "legal_sensitive"), ("human", "wants_human"))), ("y", (("legal", "abusive_content"), ("human", "wants_human"))))))
 _set = lambda s, d: build_eval_set(_docs(s, d), B.table(s, d, "labels"), B.table(s, d, "benchmark"), 100, 11)
+_versions = lambda s, d: B.preds(s, d).withColumn("v2", F.when(B.uniform("item", 22) % 4 > 0, F.col("gold")))
 _verdict = lambda: F.when(F.col("a") == F.col("gold"), "right").when(B.uniform("item", 21) % 3 == 0, "gold").when(B.uniform("item", 21) % 3 == 1, "model").otherwise("open")
+EXCEPTIONS = [-1, *range(100)]
+
+
+def _violations(s, d, exceptions):
+    ruled = B.preds(s, d).withColumn("rule", F.concat(F.lit("r"), (B.uniform("item", 23) % 3).cast("string")))
+    return rule_violations(ruled, "item", "a", "rule", {"r0": ["en", "de"]}, {"r1": ["fr"]}, exceptions)
+
+
 QUERIES = {
     "field_agreement": lambda s, d: field_agreement(B.preds(s, d).select(F.nullif("a", F.lit("en")).alias("a"), F.nullif("b", F.lit("en")).alias("b")), "a", "b"),
+    "field_distribution": lambda s, d: field_distribution(B.preds(s, d).select(F.nullif("a", F.lit("en")).alias("a"), F.nullif("b", F.lit("en")).alias("b")), "a", "b"),
     "flag_agreement": lambda s, d: flag_agreement(_flagged(s, d), "x", "y", ["legal", "human", "churn"]),
     "window_accuracy": lambda s, d: window_accuracy(B.preds(s, d), "item", "gold", "b"),
+    "window_range": lambda s, d: window_range(window_accuracy(B.preds(s, d), "item", "gold", "b")),
     "boundary_table": lambda s, d: boundary_table(B.preds(s, d), "gold", "a", "b", SIDES),
-    "version_effect": lambda s, d: version_effect(B.preds(s, d).withColumn("v2", F.when(B.uniform("item", 22) % 4 > 0, F.col("gold"))), "a", ["gold", "v2", "b"]),
+    "version_effect": lambda s, d: version_effect(_versions(s, d), "a", ["gold", "v2", "b"]),
+    "version_moves": lambda s, d: version_moves(_versions(s, d).withColumn("v3", F.when(F.col("v2").isNotNull(), F.col("b"))), "item", "a", "gold", "v3"),
+    "version_classes": lambda s, d: version_classes(_versions(s, d), "a", "gold", "b"),
     "adjudication_rollup": lambda s, d: adjudication_rollup(B.preds(s, d).withColumn("v", _verdict()), "gold", "v"),
-    "rule_violations": lambda s, d: rule_violations(B.preds(s, d).withColumn("rule", F.concat(F.lit("r"), (B.uniform("item", 23) % 3).cast("string"))), "item", "a", "rule", {"r0": ["en", "de"]}, {"r1": ["fr"]}, [3, 5, 8]),
+    "rule_violations": lambda s, d: _violations(s, d, [3, 5, 8]),
+    "stale_exceptions": lambda s, d: stale_exceptions(B.preds(s, d), "item", _violations(s, d, EXCEPTIONS), EXCEPTIONS),
     "score_table": lambda s, d: score_table(_evals(s, d)),
-    "judge_pair": lambda s, d: judge_pair(_evals(s, d), "m/x", "h/y"),
+    "judge_pair": lambda s, d: judge_pair(_two_rubrics(s, d), "m/x", "h/y"),
     "fixed_text_spread": lambda s, d: fixed_text_spread(_evals(s, d)),
     "paired_difference": lambda s, d: paired_difference(B.preds(s, d), "item", "gold", "a", "b"),
     "paired_metrics": lambda s, d: paired_metrics(_evals(s, d), "m:one", "h:two"),
@@ -201,6 +256,11 @@ def _draws(key: str, source: str, sums: str, seed: int) -> str:
 _ENDS = "round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high"
 ORACLE_SQL = {
     "field_agreement": f"WITH {B.SQL_PREDS}, p AS (SELECT coalesce(nullif(a, 'en'), '') AS a, coalesce(nullif(b, 'en'), '') AS b FROM preds) SELECT count(*) AS n, round(avg((a = b)::INT), 6) AS exact, count(*) FILTER (a = '' AND b = '') AS both_blank, count(DISTINCT a) AS values_a, count(DISTINCT b) AS values_b FROM p",
+    "field_distribution": f"WITH {B.SQL_PREDS} SELECT 'a' AS field, coalesce(nullif(a, 'en'), '') AS value, count(*) AS n FROM preds GROUP BY ALL UNION ALL SELECT 'b', coalesce(nullif(b, 'en'), ''), count(*) FROM preds GROUP BY ALL",
+    "window_range": f"WITH {B.SQL_PREDS}, r AS (SELECT (row_number() OVER (ORDER BY item) - 1) // greatest(10, count(*) OVER () // 5) AS chunk, (gold = b)::INT AS h FROM preds), w AS (SELECT round(avg(h), 6) AS v FROM r GROUP BY chunk HAVING count(*) >= 5) SELECT count(*) AS n_windows, min(v) AS least, max(v) AS most, round(max(v) - min(v), 6) AS range FROM w",
+    "version_moves": f"WITH {B.SQL_PREDS}, v AS (SELECT item, a, gold, CASE WHEN {_u('item', 22)} % 4 > 0 AND gold IS NOT NULL THEN b END AS v FROM preds) SELECT item, gold AS old, v AS new, coalesce((v = a)::INT - (gold = a)::INT, 0) AS effect, gold IS NULL OR v IS NULL AS excluded FROM v WHERE gold IS DISTINCT FROM v",
+    "version_classes": f"WITH {B.SQL_PREDS}, l AS (SELECT gold AS cls, (gold = a)::INT AS o, NULL AS n FROM preds UNION ALL SELECT b, NULL, (b = a)::INT FROM preds), c AS (SELECT cls, round(avg(o), 6) AS old, round(avg(n), 6) AS new FROM l WHERE cls IS NOT NULL GROUP BY cls) SELECT *, CASE WHEN old IS NULL OR new IS NULL THEN 'not comparable' WHEN new > old THEN 'improved' WHEN new < old THEN 'worsened' ELSE 'same' END AS change FROM c",
+    "stale_exceptions": f"WITH {B.SQL_PREDS}, p AS (SELECT item, a, {_u('item', 23)} % 3 AS r FROM preds), e AS (SELECT unnest(range(-1, 100)) AS item) SELECT e.item, CASE WHEN p.item IS NULL THEN 'no row' ELSE 'no violation' END AS reason FROM e LEFT JOIN p USING (item) WHERE p.item IS NULL OR NOT ((r = 0 AND a NOT IN ('en', 'de')) OR (r = 1 AND a = 'fr'))",
     "flag_agreement": f"WITH {B.SQL_ROUTE}, l AS (SELECT 'legal' AS flag, legal_sensitive AS t, abusive_content AS p FROM route_in UNION ALL SELECT 'human', wants_human, wants_human FROM route_in UNION ALL SELECT 'churn', false, false FROM route_in), c AS (SELECT flag, count(*) FILTER (t AND p) AS h, count(*) FILTER (t) AS t, count(*) FILTER (p) AS p FROM l GROUP BY flag) SELECT flag, round(coalesce(h / nullif(p, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(h / nullif(t, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * h / nullif(p + t, 0)::DOUBLE, 0), 6) AS f1, p + t = 0 AS never_set FROM c",
     "window_accuracy": f"WITH {B.SQL_PREDS}, r AS (SELECT (row_number() OVER (ORDER BY item) - 1) // greatest(10, count(*) OVER () // 5) AS chunk, (gold = b)::INT AS h FROM preds) SELECT chunk, count(*) AS n, round(avg(h), 6) AS accuracy FROM r GROUP BY chunk HAVING count(*) >= 5",
     "boundary_table": f"WITH {B.SQL_PREDS}, s(side, l, r) AS (VALUES ('de_fr', ['de'], ['fr']), ('en_es', ['en'], ['es']), ('north_south', ['en', 'de'], ['fr', 'es'])), x AS (SELECT side, a = gold AS ra, b = gold AS rb, (gold IN l AND a IN r) OR (gold IN r AND a IN l) AS x, (gold IN l AND b IN r) OR (gold IN r AND b IN l) AS y FROM preds, s WHERE gold IN l OR gold IN r) SELECT side, count(*) AS n, count(*) FILTER (ra) AS right_a, count(*) FILTER (rb) AS right_b, count(*) FILTER (x) AS cross_a, count(*) FILTER (y) AS cross_b, count(*) FILTER (x AND NOT y) AS cross_fixed, count(*) FILTER (y AND NOT x) AS cross_new FROM x GROUP BY side",
@@ -208,7 +268,7 @@ ORACLE_SQL = {
     "adjudication_rollup": f"WITH {B.SQL_PREDS}, v AS (SELECT gold, CASE WHEN a = gold THEN 'right' WHEN {_u('item', 21)} % 3 = 0 THEN 'gold' WHEN {_u('item', 21)} % 3 = 1 THEN 'model' ELSE 'open' END AS v FROM preds) SELECT gold, count(*) AS n, count(*) FILTER (v = 'gold') AS for_gold, count(*) FILTER (v = 'model') AS for_model, count(*) FILTER (v = 'open') AS open, round(avg((v = 'right')::INT), 6) AS now, round(avg((v IN ('right', 'model'))::INT), 6) AS after, round(avg((v <> 'gold')::INT), 6) AS at_best FROM v GROUP BY gold",
     "rule_violations": f"WITH {B.SQL_PREDS}, p AS (SELECT item, 'r' || ({_u('item', 23)} % 3) AS rule, a FROM preds) SELECT item, rule, a, CASE WHEN rule = 'r0' THEN 'not_winner' ELSE 'excluded' END AS problem, item IN (3, 5, 8) AS known FROM p WHERE (rule = 'r0' AND a NOT IN ('en', 'de')) OR (rule = 'r1' AND a = 'fr')",
     "score_table": f"WITH {_EV} SELECT judge, rubric, config, count(*) AS n, round(avg(overall), 6) AS overall, round(avg(deflects::INT), 6) AS deflection, split_part(judge, '/', 1) = split_part(config, ':', 1) AS same_family FROM evals GROUP BY judge, rubric, config",
-    "judge_pair": f"WITH {_EV}, p AS (SELECT x.overall AS x, y.overall AS y FROM evals x JOIN evals y USING (item, config) WHERE x.judge = 'm/x' AND y.judge = 'h/y') SELECT count(*) AS n, count(*) FILTER (x = y) AS exact, count(*) FILTER (abs(x - y) <= 1) AS within_1, round(avg(x - y), 6) AS bias FROM p",
+    "judge_pair": f"WITH {_EV}, p AS (SELECT x.overall AS x, y.overall AS y, x.deflects = (y.deflects OR item % 5 = 0) AS f FROM evals x JOIN evals y USING (item, config) WHERE x.judge = 'm/x' AND y.judge = 'h/y' AND item % 7 <> 0) SELECT count(*) AS n, count(*) FILTER (x = y) AS exact, count(*) FILTER (abs(x - y) <= 1) AS within_1, round(avg(x - y), 6) AS bias, round(avg(f::INT), 6) AS same_flag FROM p",
     "fixed_text_spread": f"WITH {_EV} SELECT config, max(overall) - min(overall) AS range, round(stddev_samp(overall), 6) AS std, round(avg(overall), 6) AS mean, count(*) FILTER (deflects) AS flags FROM evals WHERE config = 'm:one' GROUP BY config",
     "paired_difference": f"WITH {B.SQL_PREDS}, {_draws('item', 'preds', 'sum((b = gold)::INT - (a = gold)::INT) AS s, count(*) FILTER (b = gold AND a <> gold) AS up, count(*) FILTER (b <> gold AND a = gold) AS down', 17)}, r AS (SELECT sum(w * s) / nullif(sum(w * n), 0)::DOUBLE AS d FROM w GROUP BY rep), e AS (SELECT {_ENDS} FROM r), f AS (SELECT round(sum(s) / sum(n)::DOUBLE, 6) AS difference, CAST(sum(up) AS BIGINT) AS fixes, CAST(sum(down) AS BIGINT) AS breaks FROM g) SELECT *, CASE WHEN low > 0 THEN 'better' WHEN high < 0.03 THEN 'not better' ELSE 'inconclusive' END AS verdict FROM f, e",
     "paired_metrics": f"WITH {_EV}, d AS (SELECT item, avg(overall) FILTER (config = 'h:two') - avg(overall) FILTER (config = 'm:one') AS d FROM evals GROUP BY item), {_draws('item', 'd', 'sum(d) AS s, sum(d * d) AS q', 19)}, f AS (SELECT sum(n) AS n, sum(s) AS s, sum(q) AS q FROM g), rr AS (SELECT sum(w * s) / nullif(sum(w * n), 0) AS d, sum(CASE WHEN u < 0.5 THEN s ELSE -s END) AS f FROM w GROUP BY rep), e AS (SELECT {_ENDS}, round((count(*) FILTER (abs(rr.f) >= abs(f.s) - 1e-9) + 1) / (count(*) + 1.0::DOUBLE), 6) AS p FROM rr, f) SELECT CAST(n AS BIGINT) AS n, round(s / n, 6) AS difference, low, high, p, low > 0 OR high < 0 AS star, " + ", ".join(f"CAST(ceil(round(2.8 * 2.8 * ((q - s * s / n) / nullif(n - 1, 0)) / ({e} * {e}), 6)) AS BIGINT) AS need_{int(e * 10)}" for e in (0.1, 0.2, 0.3, 0.5)) + " FROM f, e",

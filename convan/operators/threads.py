@@ -48,13 +48,19 @@ def unseen(df: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return df.join(used.select(key), key, "left_anti")
 
 
-def used_ids(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Distinct ids that each source holds."""
-    parts = [df.select(F.lit(name).alias("source"), F.col(c).cast("long").alias("id")) for name, (df, c) in sources.items()]
+def all_used(sources: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Distinct (source, id) of all sources; a source may hold ids in several columns. Null ids are none."""
+    parts = [df.select(F.lit(name).alias("source"), F.explode(F.array(*(F.col(c).cast("long") for c in cols))).alias("id")) for name, (df, cols) in sources.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where("id is not null").groupBy("source").agg(F.countDistinct("id").alias("n_ids"))
+    return out.where("id is not null").distinct()
+
+
+def used_ids(sources: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Distinct ids of each source, and those of their union as source "*"; sources without ids have no row."""
+    used = all_used(sources)
+    return used.groupBy("source").agg(F.count("*").alias("n_ids")).unionByName(used.select("id").distinct().agg(F.lit("*").alias("source"), F.count("*").alias("n_ids")))
 
 
 def _docs(spark, d):
@@ -68,7 +74,7 @@ QUERIES = {
     "dedupe_first": lambda s, d: dedupe(_docs(s, d), ["source", "lang"], ["n_chars", "doc_id"], "first").select("source", "lang", "doc_id"),
     "rescored": lambda s, d: rescored(_docs(s, d), "text", "doc_id", "source"),
     "unseen": lambda s, d: unseen(_docs(s, d), B.table(s, d, "labels"), "doc_id").select("doc_id"),
-    "used_ids": lambda s, d: used_ids({"documents": (_docs(s, d), "doc_id"), "labels": (B.table(s, d, "labels"), "doc_id"), "benchmark": (B.table(s, d, "benchmark"), "item_id")}),
+    "used_ids": lambda s, d: used_ids({"documents": (_docs(s, d), ["doc_id"]), "labels": (B.table(s, d, "labels"), ["doc_id"]), "lines": (B.table(s, d, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])}),
     "leaks": lambda s, d: B.table(s, d, "labels").select("doc_id").intersect(_docs(s, d).where("lang = 'en'").select("doc_id")),
 }
 ORACLE_SQL = {
@@ -78,6 +84,6 @@ ORACLE_SQL = {
     "dedupe_first": "SELECT source, lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id) = 1",
     "rescored": "WITH k AS (SELECT text, count(*) AS n, arg_min(source, doc_id) AS f, arg_max(source, doc_id) AS l FROM documents GROUP BY text) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, count(*) FILTER (n > 1) AS n_repeated, count(*) FILTER (f IS DISTINCT FROM l) AS n_changed FROM k",
     "unseen": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "used_ids": "SELECT 'documents' AS source, count(DISTINCT doc_id) AS n_ids FROM documents UNION ALL SELECT 'labels', count(DISTINCT doc_id) FROM labels UNION ALL SELECT 'benchmark', count(DISTINCT item_id) FROM benchmark",
+    "used_ids": "WITH i AS (SELECT 'documents' AS source, doc_id AS id FROM documents UNION ALL SELECT 'labels', doc_id FROM labels UNION ALL SELECT 'lines', unnest([l_orderkey, l_partkey, l_suppkey]) FROM lineitem) SELECT source, count(DISTINCT id) AS n_ids FROM i GROUP BY source UNION ALL SELECT '*', count(DISTINCT id) FROM i",
     "leaks": "SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'",
 }

@@ -106,7 +106,7 @@ def _manifest(s, d):
     from convan.operators.threads import used_ids
 
     path = new_path(s, "manifest")
-    write_manifest(used_ids({"documents": (B.table(s, d, "documents"), "doc_id"), "labels": (B.table(s, d, "labels"), "doc_id")}), path)
+    write_manifest(used_ids({"documents": (B.table(s, d, "documents"), ["doc_id"]), "labels": (B.table(s, d, "labels"), ["doc_id"])}).where("source <> '*'"), path)
     return s.read.schema("total long, counts map<string, long>").json(path).select("total", F.col("counts")["documents"].alias("documents"), F.col("counts")["labels"].alias("labels"))
 
 
