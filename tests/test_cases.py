@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from convan.functions.scratch import new_path, ranked
 from convan.operators.editing import apply_edits
-from convan.operators.evaluation import assemble, confusion_matrix, route
+from convan.operators.evaluation import assemble, calibration_gap, confusion_matrix, fingerprint, route
 from convan.operators.guard import HOSTS, NO_CONTENT, STOP_WORDS, guard_verdicts, is_generic, sanitize
-from convan.operators.judging import paired_difference
+from convan.operators.judging import paired_difference, version_classes, version_moves
 from convan.operators.policies import route_triggers, select_rule, vote_summary
+from convan.operators.review import flags_from_string, has_flag, migrate_categories, rank_correlation
+from convan.operators.sampling import coverage_plan, stratified_folds
 from convan.operators.text import contaminated
 from convan.operators.threads import dedupe
 from convan.operators.vectors import vector_top_k
@@ -115,3 +117,49 @@ def test_contaminated_at_every_offset(spark):
     got = {r.doc_id: r.hits for r in contaminated(spark.createDataFrame(texts, "doc_id int, text string"), refs, "doc_id", "item_id", "text").collect()}
     own = {i: len({t[a : a + 40] for a in range(len(t) - 39)} & {item[a : a + 40] for a in range(len(item) - 39)}) for i, t in texts if t and len(t) >= 40}
     assert got == {i: n for i, n in own.items() if n} | {1002: 1}
+
+
+def test_flag_strings(spark):
+    df = spark.createDataFrame([(" a;; b ,c",), ("",), (None,)], "t string")
+    got = df.select(flags_from_string(F.col("t")).alias("f"), has_flag(F.col("t"), "b").alias("h")).collect()
+    assert [(r.f, r.h) for r in got] == [(["a", "b", "c"], True), ([], False), ([], False)]
+
+
+def test_dissolved_categories(spark):
+    df = spark.createDataFrame([(1, "x", 9), (2, "x", 1), (3, "x", None), (4, "y", 9), (5, None, 9)], "id long, c string, v int")
+    got = {r.id: r.category for r in migrate_categories(df, "id", "c", {"y": "z"}, {"x": [("v > 5", "big"), ("v > 0", "small")]}).collect()}
+    assert got == {1: "big", 2: "small", 3: None, 4: "z", 5: None}
+
+
+def test_rank_correlation(spark):
+    df = spark.createDataFrame([("g", 1, 1), ("g", 2, 2), ("g", 2, 3), ("g", 4, 5), ("h", 1, 2), ("h", 1, 3), ("i", None, 1)], "g string, a int, b int")
+    assert {r.g: r.spearman for r in rank_correlation(df, "a", "b", "g").collect()} == {"g": 0.948683, "h": None}
+
+
+def test_calibration_gap_needs_rows(spark):
+    df = spark.createDataFrame([(0.1, False)] * 20 + [(0.9, True)] * 19 + [(None, True)], "s double, h boolean")
+    assert calibration_gap(df, "s", "h").first().asDict() == {"n_low": 20, "n_high": 19, "low": 0.0, "high": 1.0, "gap": None}
+    assert calibration_gap(df.unionByName(df), "s", "h").first().gap == 1.0
+
+
+def test_fingerprints(spark):
+    a = spark.createDataFrame([(1, "x\r\ny"), (2, None)], "k long, t string")
+    b = spark.createDataFrame([(2, None), (1, "x\ny")], "k long, t string")
+    turned = spark.createDataFrame([(2, "x\ny"), (1, None)], "k long, t string")
+    one = lambda df, order=None: fingerprint(df, ["t"], order).first()
+    assert one(a) == one(b) == one(turned)
+    assert one(a, ["k"]) == one(b, ["k"]) != one(turned, ["k"])
+    assert one(a.limit(0)).xor == "0" * 16
+
+
+def test_folds_and_plan_by_class(spark):
+    df = spark.createDataFrame([(i, "a" if i < 8 else "b") for i in range(11)], "id long, c string")
+    assert {r.fold for r in stratified_folds(df, "id", "c", 5, 1).collect()} == {0, 1, 2}
+    got = {r.c: (r.have, r.need, r.available) for r in coverage_plan(df, df.where("id < 3"), "c", 5, ["a", "b", "none"]).collect()}
+    assert got == {"a": (8, 0, 3), "b": (3, 2, 0), "none": (0, 5, 0)}
+
+
+def test_moved_labels(spark):
+    df = spark.createDataFrame([(1, "x", "x", "y"), (2, "y", "x", "y"), (3, "z", "x", "y"), (4, "x", "x", None), (5, "x", "x", "x")], "id long, p string, o string, n string")
+    assert {r.id: (r.effect, r.excluded) for r in version_moves(df, "id", "p", "o", "n").collect()} == {1: (-1, False), 2: (1, False), 3: (0, False), 4: (0, True)}
+    assert {r.cls: r.change for r in version_classes(df, "p", "o", "n").collect()} == {"x": "improved", "y": "not comparable"}
