@@ -127,7 +127,7 @@ def policy_mismatch(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
 
 def mismatch_rate(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Labelled rows, those that the policy contradicts, and their share; null without rows."""
-    one = route(df.withColumn("confidence", F.lit(1.0)), defaults).agg(F.count("*").alias("n"), F.count_if("pred <> escalate").alias("n_mismatch"))
+    one = route(df.withColumn("confidence", F.lit(1.0)), defaults).agg(F.count("*").alias("n"), F.count_if(F.expr("pred <> escalate")).alias("n_mismatch"))
     return one.withColumn("rate", F.round(F.col("n_mismatch") / F.nullif("n", F.lit(0)), 6))
 
 
