@@ -52,11 +52,16 @@ def orphan_edits(base: DataFrame, edits: DataFrame, key: str) -> DataFrame:
 
 
 def apply_edits(base: DataFrame, edits: DataFrame, key: str, label: str) -> DataFrame:
-    """The next version of a label: the edit's where it gives one, else the one before. Edits have one row per item."""
-    e = edits.select(key, F.nullif(F.trim("label"), F.lit("")).alias("_e"), "rule")
+    """The next version of a label: the edit's where it gives one, else the one before. Edits have one row per item.
+
+    status is edited, confirmed (the edit gives the label that was there), or kept; confidence and source are those of an
+    edit that gives a label, if edits have these columns, else null."""
+    e = edits.select(key, F.nullif(F.trim("label"), F.lit("")).alias("_e"), "rule", *((F.col(c) if c in edits.columns else F.lit(None).cast(t)).alias(c) for c, t in (("confidence", "double"), ("source", "string"))))
     out = base.select(key, label).join(e.hint("merge"), key, "left")
-    new = F.coalesce("_e", label)
-    return out.select(key, F.col(label).alias("before"), new.alias("label"), F.when(F.col("_e").isNotNull(), F.col("rule")).alias("rule"), (~new.eqNullSafe(F.col(label))).alias("changed"))
+    new, given = F.coalesce("_e", label), F.col("_e").isNotNull()
+    changed = ~new.eqNullSafe(F.col(label))
+    status = F.when(changed, "edited").when(given, "confirmed").otherwise("kept")
+    return out.select(key, F.col(label).alias("before"), new.alias("label"), *(F.when(given, F.col(c)).alias(c) for c in ("rule", "confidence", "source")), status.alias("status"), changed.alias("changed"))
 
 
 def merge_reviews(first: DataFrame, changes: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -72,12 +77,13 @@ def backfill_namespace(log: DataFrame, old: str, new: str, key: str) -> DataFram
     return log.unionByName(add.withColumn("namespace", F.lit(new)))
 
 
-def topup_batch(df: DataFrame, id_col: str, text: str, hints: dict[str, str], size: int, seed: int) -> DataFrame:
-    """A batch to label: rows that match a rare class's hint first, then any, at random."""
+def topup_batch(df: DataFrame, id_col: str, text: str, have: DataFrame, cls: str, minimum: int, hints: dict[str, str], size: int, seed: int) -> DataFrame:
+    """A batch to label: first rows that match the hint of a class with fewer than `minimum` rows in `have`, then any, at random."""
+    short = have.agg(*((F.count_if(F.col(cls) == c) < minimum).alias(f"_short{i}") for i, c in enumerate(hints)))  # one row
     hinted = F.lit(False)
-    for p in hints.values():
-        hinted |= F.coalesce(F.col(text).rlike(p), F.lit(False))
-    return df.select(id_col, hinted.alias("hinted"), B.uniform(id_col, seed).alias("u")).orderBy(F.desc("hinted"), "u", id_col).limit(size)
+    for i, p in enumerate(hints.values()):
+        hinted |= F.col(f"_short{i}") & F.coalesce(F.col(text).rlike(p), F.lit(False))
+    return df.crossJoin(F.broadcast(short)).select(id_col, hinted.alias("hinted"), B.uniform(id_col, seed).alias("u")).orderBy(F.desc("hinted"), "u", id_col).limit(size)
 
 
 def priority_order(df: DataFrame, id_col: str, cls: str, have: DataFrame, floor: int, seed: int) -> DataFrame:
@@ -107,7 +113,7 @@ def _docs(spark, d):
 def _edits(s, d):
     """Edits of labelled documents: a new language, a blank for every third, and ids beyond the table for every fifth."""
     u = B.uniform("doc_id", 5)
-    return B.gold(s, d).where(u % 2 == 0).select(F.when(u % 5 == 0, F.col("doc_id") + 10_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), F.when(u % 3 == 0, " ").otherwise("fr").alias("label"), F.concat(F.lit("r"), (u % 7).cast("string")).alias("rule"))
+    return B.gold(s, d).where(u % 2 == 0).select(F.when(u % 5 == 0, F.col("doc_id") + 10_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), F.when(u % 3 == 0, " ").otherwise("fr").alias("label"), F.concat(F.lit("r"), (u % 7).cast("string")).alias("rule"), ((u % 101) / 100.0).alias("confidence"), F.when(u % 11 < 4, "review").otherwise("import").alias("source"))
 
 
 def _log(s, d):
@@ -126,13 +132,13 @@ QUERIES = {
     "apply_edits": lambda s, d: apply_edits(B.gold(s, d), _edits(s, d), "doc_id", "lang"),
     "merge_reviews": lambda s, d: merge_reviews(_verdicts(s, d, "a"), _verdicts(s, d, "b").where("item % 3 = 0"), _verdicts(s, d, "b"), "item"),
     "backfill_namespace": lambda s, d: backfill_namespace(_log(s, d), "v1", "v2", "item"),
-    "topup_batch": lambda s, d: topup_batch(_docs(s, d).join(B.table(s, d, "labels"), "doc_id", "left_anti"), "doc_id", "text", HINTS, 40, 9),
+    "topup_batch": lambda s, d: topup_batch(_docs(s, d).join(B.table(s, d, "labels"), "doc_id", "left_anti"), "doc_id", "text", B.gold(s, d), "lang", 100, HINTS, 40, 9),
     "priority_order": lambda s, d: priority_order(_docs(s, d), "doc_id", "lang", B.gold(s, d), 100, 8),
     "build_eval_set": lambda s, d: build_eval_set(_docs(s, d), B.table(s, d, "labels"), B.table(s, d, "benchmark"), 100, 11),
     "prefix": lambda s, d: build_eval_set(_docs(s, d), B.table(s, d, "labels"), B.table(s, d, "benchmark"), 100, 11).where("eval_index <= 25"),
 }
 _u = lambda seed, c="doc_id": B.sql_uniform(c, seed)
-_EDITS = f"{B.SQL_GOLD}, edits AS (SELECT CASE WHEN {_u(5)} % 5 = 0 THEN doc_id + 10000000000 ELSE doc_id END AS doc_id, CASE WHEN {_u(5)} % 3 = 0 THEN ' ' ELSE 'fr' END AS label, 'r' || ({_u(5)} % 7) AS rule FROM gold WHERE {_u(5)} % 2 = 0)"
+_EDITS = f"{B.SQL_GOLD}, edits AS (SELECT CASE WHEN {_u(5)} % 5 = 0 THEN doc_id + 10000000000 ELSE doc_id END AS doc_id, CASE WHEN {_u(5)} % 3 = 0 THEN ' ' ELSE 'fr' END AS label, 'r' || ({_u(5)} % 7) AS rule, ({_u(5)} % 101) / 100.0 AS confidence, CASE WHEN {_u(5)} % 11 < 4 THEN 'review' ELSE 'import' END AS source FROM gold WHERE {_u(5)} % 2 = 0)"
 _NORM_SQL = "trim(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), 'https?://[^ \\t\\r\\n]+', ' ', 'g'), '@[A-Za-z0-9_]+', ' ', 'g'), '&amp;', '&'), '[^a-z0-9]+', ' ', 'g'))"
 _WIN = "SELECT DISTINCT id, w FROM (SELECT id, unnest(list_transform(range(1, greatest(length(norm) - 39, 1) + 1), lambda i: substr(norm, i, 40))) AS w FROM {t}) WHERE w <> ''"
 _EVAL = f"""n AS (SELECT doc_id AS id, {_NORM_SQL} AS norm FROM documents), b AS (SELECT item_id AS id, {_NORM_SQL} AS norm FROM benchmark),
@@ -146,10 +152,10 @@ ORACLE_SQL = {
     "progress": f"WITH {B.SQL_PREDS} SELECT 'labels' AS version, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) AS n_done, count(DISTINCT doc_id) AS n_items FROM documents UNION ALL SELECT 'preds', (SELECT count(DISTINCT item) FROM preds WHERE a <> 'en'), count(DISTINCT doc_id) FROM documents",
     "scorable": f"WITH {B.SQL_GOLD} SELECT doc_id, lang, source FROM gold WHERE {_u(7)} % 10 < 6 AND source IS DISTINCT FROM 'web'",
     "orphan_edits": f"WITH {_EDITS}, p AS (SELECT e.doc_id, CASE WHEN g.doc_id IS NULL THEN 'unknown' WHEN trim(e.label) = '' THEN 'undecided' END AS problem FROM edits e LEFT JOIN gold g ON e.doc_id = g.doc_id) SELECT * FROM p WHERE problem IS NOT NULL",
-    "apply_edits": f"WITH {_EDITS}, j AS (SELECT g.doc_id, g.lang, nullif(trim(e.label), '') AS e, e.rule FROM gold g LEFT JOIN edits e ON e.doc_id = g.doc_id) SELECT doc_id, lang AS before, coalesce(e, lang) AS label, CASE WHEN e IS NOT NULL THEN rule END AS rule, coalesce(e, lang) IS DISTINCT FROM lang AS changed FROM j",
+    "apply_edits": f"WITH {_EDITS}, j AS (SELECT g.doc_id, g.lang, nullif(trim(e.label), '') AS e, e.rule, e.confidence, e.source FROM gold g LEFT JOIN edits e ON e.doc_id = g.doc_id) SELECT doc_id, lang AS before, coalesce(e, lang) AS label, CASE WHEN e IS NOT NULL THEN rule END AS rule, CASE WHEN e IS NOT NULL THEN confidence END AS confidence, CASE WHEN e IS NOT NULL THEN source END AS source, CASE WHEN coalesce(e, lang) IS DISTINCT FROM lang THEN 'edited' WHEN e IS NOT NULL THEN 'confirmed' ELSE 'kept' END AS status, coalesce(e, lang) IS DISTINCT FROM lang AS changed FROM j",
     "merge_reviews": f"WITH {B.SQL_PREDS}, x AS ({_VERDICT.format(c='a')}), y AS ({_VERDICT.format(c='b')}) SELECT x.item, 1 AS side, coalesce(y.verdict, x.verdict) AS verdict, coalesce(y.verdict <> x.verdict, false) AS changed FROM x LEFT JOIN y ON x.item = y.item AND y.item % 3 = 0 UNION ALL SELECT item, 2, verdict, false FROM y",
     "backfill_namespace": f"WITH {B.SQL_PREDS} SELECT 'v1' AS namespace, item, a AS label FROM preds UNION ALL SELECT 'v2', item, CASE WHEN {_u(6, 'item')} % 2 = 0 THEN b ELSE a END FROM preds",
-    "topup_batch": f"SELECT doc_id, regexp_matches(text, '(?i) und ') OR regexp_matches(text, '(?i) les ') AS hinted, {_u(9)} AS u FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY hinted DESC, u, doc_id LIMIT 40",
+    "topup_batch": f"WITH {B.SQL_GOLD}, s AS (SELECT count(*) FILTER (lang = 'de') < 100 AS de, count(*) FILTER (lang = 'fr') < 100 AS fr FROM gold) SELECT doc_id, (de AND regexp_matches(text, '(?i) und ')) OR (fr AND regexp_matches(text, '(?i) les ')) AS hinted, {_u(9)} AS u FROM documents, s WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY hinted DESC, u, doc_id LIMIT 40",
     "priority_order": f"WITH {B.SQL_GOLD}, h AS (SELECT lang, count(*) AS h FROM gold GROUP BY lang), t AS (SELECT doc_id, d.lang, greatest(100 - coalesce(h, 0), 0) AS need, row_number() OVER (PARTITION BY d.lang ORDER BY {_u(8)}, doc_id) AS turn FROM documents d LEFT JOIN h ON h.lang = d.lang) SELECT doc_id, lang, need, turn, turn > need AS beyond, row_number() OVER (ORDER BY turn > need, turn, need DESC, lang, doc_id) AS position FROM t",
     "build_eval_set": f"WITH {_EVAL} SELECT * FROM e",
     "prefix": f"WITH {_EVAL} SELECT * FROM e WHERE eval_index <= 25",
