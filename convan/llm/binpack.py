@@ -5,8 +5,9 @@ Rows with equal texts form a group, of which (bytes, tokens, rows) is the vector
 capacity is highest. Large units are placed first, over the whole table: by their size there are at most
 shards * LARGE of them, whatever the table holds. The rest is dealt into cells of about CELL_ROWS units; every cell
 packs its units into its part of what is left of each shard, largest first, so cells run in parallel. Then the shards of
-a cell are matched to the global shards, most loaded to least loaded, cell after cell, so what one cell has left over
-doesn't add up (a table of cells x shards rows).
+a cell are matched to the shards of a node over FAN cells, most loaded to least loaded, cell after cell, so what one cell
+has left over doesn't add up; nodes are matched to the nodes above in the same way, up to a root, whose shards are the
+global ones. A task matches FAN x shards rows; the driver sees none of them.
 
 Slots number the rows of a shard without gaps: rows are counted in chunks of a shard, the chunks' offsets are summed up,
 and rows are numbered within their chunk, so that no task gets a whole shard.
@@ -28,6 +29,7 @@ SHARDS, ROW_BYTES = 24, 8
 LARGE = 200  # a unit of over 1 / LARGE of a shard, in any dimension, is placed before the cells
 WHOLE, PARTS = 0.9, 64  # a group beyond that share of a shard's bytes is dealt with in so many parts
 CELL_ROWS, CHUNK_ROWS = 20_000, 20_000
+FAN = 32  # cells, or nodes, that are matched in one task
 _DIMS = ("bytes", "tokens", "rows")
 
 
@@ -49,6 +51,40 @@ def place(units: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
+def matched(loads: DataFrame, cells: int, aim: np.ndarray) -> DataFrame:
+    """(cell, local, shard): the shard that each cell's local shard becomes, from loads (node, local, bytes); aim is the share of each shard."""
+    shards = len(aim)
+
+    def step(children: pd.DataFrame) -> pd.DataFrame:
+        over, out = np.zeros(shards), []
+        for node, own in children.sort_values("node").groupby("node"):
+            load = np.zeros(shards)
+            load[own["local"]] = own["bytes"]
+            part = aim * load.sum()
+            swap = np.empty(shards, int)
+            swap[np.argsort(-(load - part), kind="stable")] = np.argsort(over, kind="stable")
+            ways = []
+            for to in (np.arange(shards), swap):
+                after = over - part
+                after[to] += load
+                ways.append((np.ptp(after), to, after))
+            _, to, over = min(ways, key=lambda w: w[0])
+            out.append(pd.DataFrame({"node": np.int32(node), "local": np.arange(shards, dtype=np.int32), "to": to.astype(np.int32), "bytes": load.astype(np.int64)}))
+        return pd.concat(out)
+
+    above, match = (F.col("node") / FAN).cast("int"), None
+    while match is None or cells > 1:
+        level = saved(loads.groupBy(above.alias("_above")).applyInPandas(step, "node int, local int, to int, bytes long"), "match")
+        if match is None:
+            match = level.select(F.col("node").alias("cell"), "local", above.alias("_node"), F.col("to").alias("shard"))
+        else:
+            up = level.select(F.col("node").alias("_node"), F.col("local").alias("shard"), above.alias("_up"), "to")
+            match = match.join(up.hint("merge"), ["_node", "shard"]).select("cell", "local", F.col("_up").alias("_node"), F.col("to").alias("shard"))
+        loads = level.groupBy(above.alias("node"), F.col("to").alias("local")).agg(F.sum("bytes").alias("bytes"))
+        cells = -(-cells // FAN)
+    return match.drop("_node")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -81,26 +117,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         return cell[["digest", "unit", "cell", *_DIMS]].assign(local=place(vectors, left))
 
     packed = saved(units.where("cell >= 0").groupBy("cell").applyInPandas(pack, "digest binary, unit int, cell int, bytes long, tokens long, rows long, local int"), "packed")
-    loads = packed.groupBy("cell", "local").agg(F.sum("bytes").alias("bytes")).orderBy("cell", "local").toPandas()  # cells x shards rows
     aim = np.maximum(residual[:, 0], 0)
-    aim = aim / max(aim.sum(), 1e-9) * loads["bytes"].sum() if len(loads) else aim
-    over = np.zeros(shards)
-    matched = []
-    for cell, own in loads.groupby("cell"):
-        load = np.zeros(shards)
-        load[own["local"]] = own["bytes"]
-        part = aim / max(aim.sum(), 1e-9) * load.sum()
-        swap = np.empty(shards, int)
-        swap[np.argsort(-(load - part), kind="stable")] = np.argsort(over, kind="stable")
-        ways = []
-        for to in (np.arange(shards), swap):
-            after = over - part
-            after[to] += load
-            ways.append((np.ptp(after), to, after))
-        _, to, over = min(ways, key=lambda w: w[0])
-        matched += [(int(cell), k, int(to[k])) for k in range(shards)]
-    match = spark.createDataFrame(matched or [(0, 0, 0)], "cell int, local int, shard int")
-    light = packed.join(F.broadcast(match) if len(matched) <= 100_000 else match.hint("merge"), ["cell", "local"]).select("digest", "unit", "shard")
+    match = matched(packed.groupBy(F.col("cell").alias("node"), "local").agg(F.sum("bytes").alias("bytes")), cells, aim / max(aim.sum(), 1e-9))
+    light = packed.join(F.broadcast(match) if cells * shards <= 100_000 else match.hint("merge"), ["cell", "local"]).select("digest", "unit", "shard")
     placed = light.unionByName(heavy)
     keyed = placed.where("unit = -1").select("digest", "shard")
     split = placed.where("unit >= 0").select("digest", F.col("unit").alias("part"), "shard")
