@@ -1,10 +1,14 @@
 """WARC: archives of pages, and revisit resolution.
 
-Headers (id, payload digest, payload size) are shuffled by digest, never the payloads; map-side aggregation keeps one row
-per digest and partition, and rows of one digest are spread over SALTS keys when they look up their original. Records
-whose payload is the original's become revisit records. Archives are written anew with fresh headers by Spark's text
-sink: a record is its text, and the separator that the sink writes after each is the blank lines that end a WARC record.
-Reading takes whole files (of at most FILE_RECORDS records) and walks them by Content-Length.
+Headers (id, payload digest, payload size) are written once and shuffled by digest without payloads; map-side aggregation
+keeps one row per digest and partition, and rows of one digest are spread over SALTS keys when they look up their
+original. Payloads are shuffled once, by id and digest, to meet what became of them. Records whose payload is the
+original's become revisit records. Archives are written anew with fresh headers by Spark's text sink: a record is its
+text, and the separator that the sink writes after each is the blank lines that end a WARC record.
+
+Files are bounded by bytes: records are written by classes of payload size (CLASSES), each with as many records a file as
+keep its payloads within FILE_BYTES; a payload beyond that is a file of its own. Reading takes whole files and walks them
+by Content-Length, so a task holds about FILE_BYTES, or one record that is larger.
 
 Defined cases: a null payload is empty; payloads shorter than min_bytes are responses, each; of equal payloads the
 largest id is the response, and rows that repeat that id and payload are responses too; null ids are never originals
@@ -22,7 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_RECORDS = 4_000  # at most, in a file
+from convan.llm.common import saved
+
+FILE_BYTES = 64 << 20  # payloads of a file, unless one alone has more
+CLASSES = (1 << 14, 1 << 18, 1 << 22, FILE_BYTES)  # payloads are below the first, the second, ... or in a class without an end
 SALTS = 64
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
@@ -58,7 +65,8 @@ def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Deduplicated archives of pages under path: response records with payloads, revisit records without."""
     heads = headers(pages, id_col, url_col, payload_col)
-    known = resolve(heads, min_bytes).withColumnRenamed("id", "_id").withColumnRenamed("digest", "_digest")
+    lean = saved(heads.select("id", "digest", "bytes"), "heads")
+    known = saved(resolve(lean, min_bytes), "originals").withColumnRenamed("id", "_id").withColumnRenamed("digest", "_digest")
     rows = heads.join(known.hint("shuffle_hash"), heads["id"].eqNullSafe(known["_id"]) & (heads["digest"] == known["_digest"]))
     revisit = ~F.col("id").eqNullSafe(F.col("original"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\s\x00-\x1f]", "%20")
@@ -70,8 +78,14 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.when(revisit, F.concat(line("WARC-Refers-To", record_id("original")), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))), F.lit("\r\n"),
     )
-    records = rows.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"), "bytes")
-    records.select("value").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    value = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value")
+    bounds = [(low, high) for low, high in zip((0, *CLASSES), (*CLASSES, None), strict=True)]
+    within = lambda low, high: (F.col("bytes") >= low) & (F.col("bytes") < high if high else F.lit(True))
+    found = lean.agg(*(F.count_if(within(*b)).alias(f"n{i}") for i, b in enumerate(bounds))).first()
+    some = [b for b, n in zip(bounds, found, strict=True) if n] or bounds[:1]  # an empty table has one class without rows
+    for low, high in some:
+        most = max(1, FILE_BYTES // high) if high else 1
+        rows.where(within(low, high)).select(value).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

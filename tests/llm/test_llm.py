@@ -224,3 +224,32 @@ def test_classifiers_held_out(spark):
     lexicon = toxicity.fit(documents, labels.where(~apart))
     got = documents.withColumn("s", toxicity.score(documents, lexicon)).join(labels.where(apart), "doc_id").toPandas()
     assert ((got.s >= 0.5) == (got.toxic == 1)).mean() >= 0.9 and ((got.s >= 0.5) & (got.toxic == 0)).sum() == 0
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "CLASSES", (1 << 10, 1 << 13, 1 << 16))
+    text = {i: f"{i} " + "x" * (20 if i % 3 == 0 else 5_000 if i % 3 == 1 else 70_000) for i in range(60)}
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(spark.createDataFrame([(i, None, t) for i, t in text.items()], "page_id long, url string, html string").coalesce(1), path)
+    assert {r.id: bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()} == text
+    for f in (tmp_path / "archives").glob("*.gz"):
+        import gzip
+
+        sizes = [len(p) for _, p in warc.parse(gzip.decompress(f.read_bytes()))]
+        assert len(sizes) == 1 or sum(sizes) <= 1 << 16
+
+
+def test_shards_are_even_over_many_levels_of_cells(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(binpack, "CELL_ROWS", 15)
+    monkeypatch.setattr(binpack, "FAN", 4)
+    monkeypatch.setattr(binpack, "LARGE", 2)
+    draw = random.Random(3)
+    rows = [(i, f"{i} " + "a b " * draw.randint(1, 60)) for i in range(2_000)]
+    got = binpack.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).toPandas()
+    assert sorted(got["doc_id"]) == list(range(2_000))
+    bytes_ = got.groupby("shard")["size"].sum()
+    assert len(bytes_) == 5 and bytes_.max() - bytes_.min() < 0.02 * bytes_.mean()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
