@@ -37,38 +37,44 @@ def stream_windows(events: DataFrame, ts: str, length: str, delay: str) -> DataF
     return w.select(F.unix_seconds("w.start").alias("start"), "n", "purchases", "value")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """The stream run over all that is there, its sink and checkpoint in the shared folder, and the sink read back."""
-    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    else:
-        stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/{i:09d}")).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
-
-
-def _stream(spark: SparkSession, df: DataFrame, files: int = 1) -> DataFrame:
-    """A table as a file stream."""
+def drained(stream: DataFrame, name: str, path: str | None = None, state: str | None = None) -> DataFrame:
+    """The stream run over all that is there, and its sink read back. With the same path and state it goes on where it stopped.
+
+    Windows are appended when the watermark passes them, so each is written once, over any number of micro-batches."""
+    spark = stream.sparkSession
+    path, state = path or new_path(spark, name), state or new_path(spark, "state")
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table as a file stream, written by as many tasks as the table has."""
     path = new_path(spark, "arrivals")
-    df.repartition(files).write.parquet(path)
+    df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def closed(df: DataFrame, ts: str) -> DataFrame:
+    """The rows, and one without values long after the last, so that the watermark passes all windows of the table; its own window stays open."""
+    last = df.agg((F.max(ts) + F.expr("INTERVAL 3650 DAYS")).alias(ts)).where(F.col(ts).isNotNull())
+    return df.unionByName(last, allowMissingColumns=True)
+
+
 def _events(s, d):
     return B.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _replayed(s, d):
-    """All events twice: the second time as a replay in a file of its own."""
+    """All events twice, the second time as a replay."""
     e = _events(s, d).select("event_id", "ts", "event_type")
-    return _stream(s, e.unionByName(e), 3)
+    return _stream(s, e.unionByName(e))
 
 
 QUERIES = {
-    "triage_stream": lambda s, d: drained(triage_stream(_stream(s, B.msgs(s, d), 4)), "triage"),
+    "triage_stream": lambda s, d: drained(triage_stream(_stream(s, B.msgs(s, d))), "triage"),
     "score_once": lambda s, d: drained(score_once(_replayed(s, d), "event_id", "ts", "3650 days"), "scored").select("event_id", "event_type"),
-    "quota_stream": lambda s, d: drained(quota_stream(_stream(s, _events(s, d)), "user_id", "ts", "1 day", "12 hours", 2, "1 hour"), "quota", "complete"),
-    "stream_windows": lambda s, d: drained(stream_windows(_stream(s, _events(s, d)), "ts", "1 day", "1 hour"), "windows", "complete"),
+    "quota_stream": lambda s, d: drained(quota_stream(_stream(s, closed(_events(s, d), "ts")), "user_id", "ts", "1 day", "12 hours", 2, "1 hour"), "quota"),
+    "stream_windows": lambda s, d: drained(stream_windows(_stream(s, closed(_events(s, d), "ts")), "ts", "1 day", "1 hour"), "windows"),
 }
 ORACLE_SQL = {
     "triage_stream": f"""WITH {B.SQL_MSGS}, w AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') AS w FROM msgs) SELECT msg_id, CASE WHEN coalesce(trim(text), '') = '' OR length(text) > 4000 THEN 'reject'

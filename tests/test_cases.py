@@ -163,3 +163,74 @@ def test_moved_labels(spark):
     df = spark.createDataFrame([(1, "x", "x", "y"), (2, "y", "x", "y"), (3, "z", "x", "y"), (4, "x", "x", None), (5, "x", "x", "x")], "id long, p string, o string, n string")
     assert {r.id: (r.effect, r.excluded) for r in version_moves(df, "id", "p", "o", "n").collect()} == {1: (-1, False), 2: (1, False), 3: (0, False), 4: (0, True)}
     assert {r.cls: r.change for r in version_classes(df, "p", "o", "n").collect()} == {"x": "improved", "y": "not comparable"}
+
+
+def _arrive(spark, path, days):
+    from datetime import datetime, timedelta
+
+    rows = [(i, datetime(2024, 1, 1, 12) + timedelta(days=d), "view", 1.0) for i, d in days]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_rows_are_dropped_and_windows_written_once(spark, tmp_path):
+    from convan.streaming.streams import drained, stream_windows
+
+    path = f"file://{tmp_path}/in"
+    for days in ([(1, 0), (2, 0), (3, 1)], [(4, 20)], [(5, 0), (6, 21)], [(7, 60)], [(8, 61)]):
+        _arrive(spark, path, days)
+    arrivals = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drained(stream_windows(arrivals, "ts", "1 day", "1 hour"), "late", f"file://{tmp_path}/out", f"file://{tmp_path}/state").collect()
+    start = min(r.start for r in got)
+    assert sorted(((r.start - start) // 86400, r.n) for r in got) == [(0, 2), (1, 1), (20, 1), (21, 1), (60, 1)]
+
+
+def test_keys_are_scored_once_across_a_restart(spark, tmp_path):
+    from convan.streaming.streams import drained, score_once
+
+    path, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    seen = []
+    for days in ([(1, 0), (2, 1), (1, 0)], [(1, 0), (2, 1), (3, 2)]):
+        _arrive(spark, path, days)
+        arrivals = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        seen.append(sorted(r.event_id for r in drained(score_once(arrivals, "event_id", "ts", "30 days"), "once", out, state).collect()))
+    assert seen == [[1, 2], [1, 2, 3]]
+
+
+def test_conflicting_pairs_equal_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    from convan.operators.text import conflicting_pairs, tfidf
+
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(1, 9))), draw.choice("ab")) for i in range(120)]
+    rows += [(i + 200, t, x) for i, t, x in rows[:40]] + [(900, None, "a"), (901, "", "b"), (902, "w1 w2", None)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    got = {(r.a, r.b): (r.n_pairs, r.similarity) for r in conflicting_pairs(df, "id", "text", "label", 0.45).collect()}
+    classes = {}
+    for i, t, x in rows:
+        if x is not None:
+            classes.setdefault((t or "", x), []).append(i)
+    reps = spark.createDataFrame([(min(ids), t) for (t, _), ids in classes.items()], "id long, text string")
+    vectors = {}
+    for r in tfidf(reps, "id", "text", 1, 1.0).collect():
+        vectors.setdefault(r.id, {})[r.term] = r.w
+    want = {}
+    for ((_, x), p), ((_, y), q) in combinations(classes.items(), 2):
+        a, b = sorted((min(p), min(q)))
+        sim = round(sum(w * vectors.get(b, {}).get(t, 0) for t, w in vectors.get(a, {}).items()), 6)
+        if x != y and sim >= 0.45:
+            want[a, b] = (len(p) * len(q), sim)
+    assert len(want) > 10 and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_text_classifier_on_rows_not_seen(spark):
+    from convan.operators.models import QUERIES, fit_text_classifier
+
+    rows = QUERIES["out_of_fold"](spark, "/root/testdata/sf0.01").toPandas()
+    assert rows["doc_id"].is_unique and rows["fold"].nunique() == 5
+    assert (rows["lang"] == rows["predicted"]).mean() > 0.9
+    with pytest.raises(ValueError):
+        fit_text_classifier(spark.createDataFrame([("a", "x")] * 9, "text string, label string"), "text", "label")
