@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convan.llm import binpack, exact_dedup, licences, near_dedup, neighbours, packing, pieces, quality, toxicity, warc
+from convan.llm import binpack, exact_dedup, licences, near_dedup, neighbours, packing, pieces, quality, toxicity, warc, wavelet
 from convan.llm.common import crc_of_id, new_path, saved, table
 
-PIECE_MODEL, WORD_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
+PIECE_MODEL, WORD_TOKENIZER, BYTE_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_pieces, op3_licences, op4_toxicity, op5_shards, op6_warc, op7_near_dedup, op8_neighbours, op9_exact_dedup, op10_packing)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_TOKENIZER))
+    return wavelet.read(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pieces, op3_licences, op4_toxicity, op5_shards, op6_warc, op7_near_dedup, op8_neighbours, op9_exact_dedup, op10_packing, op11_token_files)}
 
 _text = lambda x: "'" + x.replace("'", "''") + "'"
 _known = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in licences.SENTENCES.items()) + "}"
