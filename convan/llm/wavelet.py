@@ -65,7 +65,7 @@ def build(tokens: np.ndarray, ids: list[int | None], lengths: np.ndarray, place:
         parts = [plane[a : a + BLOCK // 8] for a in range(0, len(plane), BLOCK // 8)]
         ones = [int(_ONES[p].sum()) for p in parts]
         before.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u8"))
-        blocks += [min(codec.compress(raw, asbytes=True), raw, key=len) for raw in (p.tobytes() for p in parts)]
+        blocks += [min(raw, codec.compress(raw, asbytes=True), key=len) for raw in (p.tobytes() for p in parts)]
         zeros.append(len(codes) - int(one.sum()))
         codes = codes[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])]
     null = np.array([i is None for i in ids], "u1")

@@ -47,6 +47,14 @@ def test_lookups_equal_scans():
         wavelet.Shard(b"something else")
 
 
+def test_blocks_of_any_size():
+    """Blocks that compression leaves as long as they were are read as they are."""
+    rng = np.random.default_rng(1)
+    for n in range(1, 1500):
+        tokens = rng.integers(0, rng.integers(1, 40), n).astype("<u4")
+        assert (wavelet.Shard(wavelet.build(tokens, [1], np.array([n]))).tokens() == tokens).all()
+
+
 def test_whole_table_equals_library(spark):
     import duckdb
 
