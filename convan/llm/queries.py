@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convan.llm import binpack, exact_dedup, licences, near_dedup, neighbours, packing, pieces, quality, toxicity, warc, wavelet
+from convan.llm import alignment, binpack, exact_dedup, licences, near_dedup, neighbours, packing, pieces, quality, resampling, toxicity, warc, wavelet
 from convan.llm.common import crc_of_id, new_path, saved, table
 
 PIECE_MODEL, WORD_TOKENIZER, BYTE_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -72,7 +72,15 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_pieces, op3_licences, op4_toxicity, op5_shards, op6_warc, op7_near_dedup, op8_neighbours, op9_exact_dedup, op10_packing, op11_token_files)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pieces, op3_licences, op4_toxicity, op5_shards, op6_warc, op7_near_dedup, op8_neighbours, op9_exact_dedup, op10_packing, op11_token_files, op12_alignment, op13_resample)}
 
 _text = lambda x: "'" + x.replace("'", "''") + "'"
 _known = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in licences.SENTENCES.items()) + "}"
@@ -95,4 +103,19 @@ ORACLE_SQL = {
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY text)""",
+    # CRC-32 byte by byte over a table of 256 numbers, on distinct words alone.
+    "op13_resample": """
+        WITH crcs AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t FROM range(256) r(b)),
+        texts AS (SELECT true AS corpus, doc_id, text FROM documents UNION ALL SELECT false, NULL, text FROM benchmark),
+        split AS (SELECT corpus, doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM texts),
+        long AS (SELECT corpus, k, unnest(words) AS w FROM split),
+        bytes AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM long)),
+        known AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crcs),
+        counts AS (SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM long JOIN known USING (w) GROUP BY bucket),
+        gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS g FROM counts),
+        sums AS (SELECT k, sum(g) AS g FROM long JOIN known USING (w) JOIN gains USING (bucket) WHERE corpus GROUP BY k),
+        weighed AS (SELECT doc_id, k, len(words) AS n_features, CASE WHEN len(words) = 0 THEN 0 ELSE CAST(floor(g::DOUBLE / len(words)) AS BIGINT) END AS weight, (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u FROM split LEFT JOIN sums USING (k) WHERE corpus),
+        scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM weighed),
+        drawn AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20 QUALIFY rank <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
+        SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (k)""",
 }
