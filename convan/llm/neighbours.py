@@ -8,9 +8,10 @@ likewise; a task holds one block of each, ranks by matrix products and gives eve
 exact cosine in double precision on the original vectors. A window takes the best of all blocks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite numbers take no part, nor do vectors of another
-length than most rows have; rows with the query's id are the query's own; repeated rows count each; fewer than k
+length than most rows have; rows with the query's id are the query's own, and the
+least of their vectors is asked; other repeated rows count each; fewer than k
 candidates give what there is; ties go to the smaller id; an empty table gives an empty result. Extra columns are not
-read. With at most SMALL rows there is one part, and the search is exact.
+read. A part has at least PART_ROWS rows of the sample, so a table of fewer than twice as many is one part.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from convan.llm.common import saved
 
-SAMPLE, TARGET, BLOCK, SMALL = 4_096, 0.95, 4_096, 1_000
+SAMPLE, TARGET, BLOCK, PART_ROWS = 4_096, 0.95, 4_096, 16
 GRAPH, HIDDEN, EPOCHS, SEED = 10, 64, 60, 9
 
 
-def parts_for(rows: int) -> int:
-    """How many parts a table of so many rows gets: with the square root, 8 to 256."""
-    return 1 if rows <= SMALL else int(np.clip(round(rows**0.5 / 16), 8, 256))
+def parts_for(rows: int, sample: int = SAMPLE) -> int:
+    """How many parts a table of so many rows gets: with the square root, 8 at least, as far as the sample can tell parts."""
+    return max(1, min(max(8, round(rows**0.5 / 16)), min(rows, sample) // PART_ROWS))
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH) -> np.ndarray:
@@ -135,7 +136,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
-    parts = parts_for(total)
+    parts = parts_for(total, sample)
     router = None
     if parts > 1:
         picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()  # at most `sample` rows
@@ -153,9 +154,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return run
 
     indexed = saved(rows.withColumn("part", F.element_at(routes(1)("v"), 1)), "indexed")
-    asked = saved(rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").withColumn("part", F.explode(routes(router.probes if router else 1)("v"))), "asked")
+    queries = rows.withColumnRenamed("id", id_col).where(is_query).groupBy(F.col(id_col).alias("id")).agg(F.min("v").alias("v"))
+    asked = saved(queries.withColumn("part", F.explode(routes(router.probes if router else 1)("v"))), "asked")
     blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = blocks(indexed, "base_blocks").join(blocks(asked, "query_blocks").hint("merge"), "part")  # a row for each part, 256 at most
+    sizes = blocks(indexed, "base_blocks").join(blocks(asked, "query_blocks").hint("merge"), "part")  # a row for each part
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = indexed.join(F.broadcast(sizes), "part").select("part", own("base_blocks").alias("b"), others("query_blocks").alias("q"), "id", "v")

@@ -8,7 +8,8 @@ is fitted on at most FIT_ROWS labelled rows; one temperature, fitted on rows tha
 its probabilities.
 
 Defined cases: a null or empty text has no words and gets the score of the zero vector; null labels are no labels; with
-labels of one kind only, or none, every score is that kind's share (0.5 without labels). Repeated rows are scored each.
+labels of one kind only, or none, every score is that kind's share (0.5 without labels). Repeated rows are scored each,
+and fit the network once.
 Texts of any length are read in pieces of about a megabyte, cut at blanks.
 """
 
@@ -192,10 +193,11 @@ def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", id_col: st
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"x": list(pooled(batch["t"].tolist(), sent.value)), "y": batch["y"]})
+            yield pd.DataFrame({"k": batch["k"], "x": list(pooled(batch["t"].tolist(), sent.value)), "y": batch["y"]})
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "_id").select("t", F.col("_y").alias("y"))  # at most FIT_ROWS rows are sent
-    got = rows.mapInPandas(vectorise, "x array<double>, y double").toPandas()
+    # An id may be on any number of rows: what is sent back is one row per id, text and label, and at most FIT_ROWS of them.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "_id").select(F.xxhash64("_id", "t").alias("k"), "t", F.col("_y").alias("y"))
+    got = rows.mapInPandas(vectorise, "k long, x array<double>, y double").dropDuplicates(["k", "y"]).orderBy("k", "y").limit(FIT_ROWS).toPandas()
     x = np.array(got["x"].tolist()).reshape(len(got), 2 * DIM + 2)
     order = np.lexsort([*x.T[:3], got["y"]])  # the same fit whatever order the rows came in
     return vectors, Network(x[order], got["y"].to_numpy()[order])

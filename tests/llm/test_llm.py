@@ -253,3 +253,96 @@ def test_shards_are_even_over_many_levels_of_cells(spark, monkeypatch):
     bytes_ = got.groupby("shard")["size"].sum()
     assert len(bytes_) == 5 and bytes_.max() - bytes_.min() < 0.02 * bytes_.mean()
     assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
+
+
+def test_fits_take_a_bounded_number_of_rows(spark, monkeypatch):
+    """One labelled id on many rows: copies fit once, and no more rows come back than the parameter says."""
+    rows = [(1, f"a toxic idiot text {i % 40}") for i in range(4000)] + [(2, "some clean words here")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    sizes = []
+    network, calibrate = quality.Network.__init__, toxicity.Lexicon.calibrate
+    monkeypatch.setattr(quality.Network, "__init__", lambda self, x, y: (sizes.append(len(x)), network(self, x, y))[1])
+    monkeypatch.setattr(toxicity.Lexicon, "calibrate", lambda self, x, y: (sizes.append(len(x)), calibrate(self, x, y))[1])
+    quality.fit(docs, labels)
+    toxicity.fit(docs, labels)
+    monkeypatch.setattr(quality, "FIT_ROWS", 10)
+    monkeypatch.setattr(toxicity, "FIT_TOXIC", 7)
+    quality.fit(docs, labels)
+    toxicity.fit(docs, labels)
+    assert sizes == [41, 41, 10, 8]
+
+
+def test_toxic_hits_by_string_search(spark):
+    """The automaton's hits, exceptions and all, against looking for every term at every place of the folded text."""
+    rng = np.random.default_rng(2)
+    terms, calm = {" idiot ": 3.0, " scum ": 2.0, " mor": 1.5, " stup": 1.0, " 𝐱": 1.0}, [" pond scum ", " stupid o clock ", " moral "]
+    words = ["idiot", "1d10t", "scum", "pond", "moron", "moral", "stupid", "o", "clock", "fine", "ідіот", "s t u p i d", "S.C.U.M", "𝐢𝐝𝐢𝐨𝐭", "mörön", ",", "x"]
+    lexicon = toxicity.Lexicon({toxicity.fold(t.strip())[: len(t)] if t.strip() == "𝐱" else t: w for t, w in terms.items()}, calm)
+    for _ in range(300):
+        text = " ".join(rng.choice(words, rng.integers(1, 12)))
+        folded = toxicity.fold(text)
+        at = lambda t: [i for i in range(len(folded)) if folded.startswith(t, i)]
+        quiet = [(i, i + len(c)) for c in calm for i in at(c)]
+        weights = [w for t, w in lexicon.weights.items() for i in at(t) if not any(a <= i and i + len(t) <= b for a, b in quiet)]
+        x, hits = lexicon.feature(text)
+        want = np.log1p(sum(weights)) / 2 + np.log1p(100 * sum(weights) / (folded.count(" ") + 21)) / 2
+        assert hits == len(weights) and abs(x - want) < 1e-9
+    for text in ("𝐢𝐝𝐢𝐨𝐭", "i d i o t", "i.d.i.o.t", "ｉｄｉｏｔ", "Ⓘⓓⓘⓞⓣ", "IDIOT"):
+        assert toxicity.fold(f"an {text} here") == " an idiot here "
+
+
+def test_context_vectors_recomputed(spark):
+    """A bucket's context vector and a document's row, word by word in plain loops."""
+    texts = ["one two three two", "Two THREE four, one one", None, ""]
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    sums = np.zeros((quality.BUCKETS, quality.DIM))
+    places = []
+    for text in texts:
+        data = (text or "").encode() + b" "
+        bucket, _, shouted, again = quality.tokens(np.frombuffer(data, np.uint8), np.array([0]))
+        places.append((bucket, shouted, again))
+        for i in range(len(bucket)):
+            for j in range(max(0, i - quality.WINDOW), min(len(bucket), i + quality.WINDOW + 1)):
+                if i != j:
+                    for to in [bucket[i], *([quality.SHOUTED] if shouted[i] else []), *([quality.REPEATED] if again[i] else [])]:
+                        for place, sign in zip(quality._PLACE[bucket[j]], quality._SIGN[bucket[j]], strict=True):
+                            sums[to, place] += sign
+    unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(got, unit, atol=1e-6)
+    rows = quality.pooled(texts, got)
+    for row, (bucket, shouted, again) in zip(rows, places, strict=True):
+        values = []
+        for b, s, a in zip(bucket, shouted, again, strict=True):
+            v = got[b]
+            v = (v + got[quality.SHOUTED]) / 2 if s else v
+            values.append((v + got[quality.REPEATED]) / 2 if a else v)
+        want = np.concatenate([np.mean(values, 0), np.std(values, 0), [shouted.mean(), again.mean()]]) if values else np.zeros(2 * quality.DIM + 2)
+        assert np.allclose(row, want, atol=1e-5)
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """A query id on two rows is asked once; candidates on two rows count twice; ties, few candidates, unusable vectors, other columns, an empty table."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (3, [1.0, 0.1]), (2, [1.0, 0.2]), (7, [0.0, 1.0]), (9, None), (8, [0.0, 0.0]), (6, [float("nan"), 1.0]), (5, [None, 1.0])]
+    v = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, part string, rank int")
+    got = lambda df: [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    assert got(v) == [(0, 1, 3), (0, 2, 2), (0, 3, 7)]
+    assert got(v.unionByName(v.where("vec_id = 2"))) == [(0, 1, 3), (0, 2, 2), (0, 3, 2), (0, 4, 7)]
+    assert got(v.limit(0)) == [] and got(spark.createDataFrame([(50, [1.0], 1), (2, [3.0], 1), (1, [2.0], 1)], "vec_id long, embedding array<double>, v int")) == [(50, 1, 1), (50, 2, 2)]
+
+
+def test_recall_on_the_given_table(spark):
+    """Partitions and router work on a table of any size; recall of the query on 0.01 against brute force."""
+    from convan.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(rows.embedding.map(lambda v: np.array(v, np.float64)).tolist())
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, found, hits = rows.vec_id.to_numpy(), {}, 0
+    assert neighbours.parts_for(len(rows)) == 8
+    for r in queries.op8_neighbours(spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, near in found.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -2
+        hits += len(near & set(ids[np.argsort(-s)[:5]].tolist()))
+    assert set(found) == set(ids[ids % 50 == 0].tolist()) and hits >= 0.9 * 5 * len(found)

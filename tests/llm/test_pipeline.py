@@ -68,3 +68,18 @@ def test_no_near_copies(stages):
 def test_packed(stages):
     got = Counter(r.doc_id for r in stages["packing"].where("piece = 0").collect())
     assert got == Counter(i for i, _ in near(exact(ROWS)))
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns named like the stages' own come back as they were, through the fitted stages too; these act on labels of documents alone."""
+    good = "the quick brown words are of a text that reads well and goes on for some more words"
+    rows = [(i, f"{good} {i}" if i % 2 else "BUY NOW !!! $$$ idiot scum " * 3, "en", "x", 1, f"r{i}", f"q{i}", f"t{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string, _quality string, _toxicity string")
+    spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (P.good_quality, P.not_toxic):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == set(range(1, 60, 2))
+    got = P.no_near_copies(spark, docs, "")
+    assert got.columns == docs.columns and all((r._row, r._quality, r._toxicity) == (f"r{r.doc_id}", f"q{r.doc_id}", f"t{r.doc_id}") for r in got.collect())
+    for stage in (P.good_quality, P.not_toxic, P.no_copies, P.no_near_copies, P.packed):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
