@@ -4,6 +4,8 @@ Each stage takes the documents that the stage before has kept; all but the last
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +15,29 @@ from convan.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from convan.llm.common import crc_of_id, saved, table
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier gives at least 0.7."""
+    """Documents that the quality classifier gives at least 0.7.
+
+    Null and empty texts are scored like texts without words; repeated rows share a decision; without labels every score is 0.5,
+    so all documents go; an empty table stays empty. Columns may have any name."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(crc_of_id() % 4 != 2))
-    return docs.withColumn("_quality", quality.score(docs, model)).where("_quality >= 0.7").drop("_quality")
+    name = fresh("quality")
+    return docs.withColumn(name, quality.score(docs, model)).where(F.col(name) >= 0.7).drop(name)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity lexicon gives less than 0.5."""
+    """Documents that the toxicity lexicon gives less than 0.5.
+
+    Null and empty texts have no hits and stay; repeated rows share a decision; without labels the starting lexicon decides; an
+    empty table stays empty. Columns may have any name."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(crc_of_id() % 5 != 0))
-    return docs.withColumn("_toxicity", toxicity.score(docs, lexicon)).where("_toxicity < 0.5").drop("_toxicity")
+    name = fresh("toxicity")
+    return docs.withColumn(name, toxicity.score(docs, lexicon)).where(F.col(name) < 0.5).drop(name)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +57,14 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows go by a number of their own in that order, so null and repeated ids neither lose rows nor join groups."""
     order = [F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256)]
-    rows = saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    kept = near_dedup.near_dedup(rows, id_col="_row").where("kept").select("_row")
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    number = fresh("row")
+    rows = saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(number, F.monotonically_increasing_id()), "rows")
+    kept = near_dedup.near_dedup(rows.select(number, "text"), id_col=number).where("kept").select(number)
+    return rows.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their sequences."""
+    """The pieces of all documents, with their sequences: null and empty texts are a piece of the end id alone, repeated rows are packed each, an empty table has no pieces."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
