@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convan.functions.scratch import ranked
+from convan.functions.tails import mcnemar_p
 from convan.plans import bindings as B
 
 # Keyword categories and the routing policy of the test classes.
@@ -143,10 +144,8 @@ def paired_table(df: DataFrame, gold: str, a: str, b: str) -> DataFrame:
 
 
 def mcnemar(df: DataFrame) -> DataFrame:
-    """The exact two-sided p value of a paired table, in log space."""
-    n, m = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    p = F.expr("least(1D, 2 * aggregate(sequence(0L, least(only_a, only_b)), named_struct('l', -(only_a + only_b) * ln(2D), 's', 0D), (x, i) -> named_struct('l', x.l + ln(greatest(only_a + only_b - i, 1L) / cast(i + 1 AS double)), 's', x.s + exp(x.l)), x -> x.s))")
-    return df.select("only_a", "only_b", F.round(F.when((n == 0) | (m.isNull()), 1.0).otherwise(p), 6).alias("p"))
+    """The exact two-sided p value of a paired table."""
+    return df.select("only_a", "only_b", F.round(mcnemar_p("only_a", "only_b"), 6).alias("p"))
 
 
 def recall_delta(df: DataFrame, gold: str, a: str, b: str) -> DataFrame:

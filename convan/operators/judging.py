@@ -1,4 +1,4 @@
-"""Scores of replies by several judges, paired statistics with bootstrap intervals, and checks of evaluation sets."""
+"""Scores of replies by several judges, and checks of evaluation sets."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from convan.functions.scratch import ranked
 from convan.operators.editing import _EVAL, _docs, build_eval_set
 from convan.plans import bindings as B
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998980)
 
 
 def field_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -124,49 +122,6 @@ def fixed_text_spread(evals: DataFrame) -> DataFrame:
     return g.where("_a = _b").drop("_a", "_b")
 
 
-def _bucketed(df: DataFrame, key: str, sums: dict[str, Column], buckets: int, reps: int, seed: int) -> DataFrame:
-    """Sums of at most `buckets` random groups of items, once for each of `reps` draws, with 32 random bits.
-
-    Groups instead of rows are drawn, so that after one pass the work is buckets x reps, whatever the table's size."""
-    g = df.groupBy((B.uniform(key, seed) % buckets).alias("bucket")).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in sums.items()))
-    draws = g.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_id", F.concat_ws("-", "bucket", "rep"))
-    return draws.withColumn("u", B.uniform("_id", seed) / 4294967296.0)
-
-
-def _weight() -> Column:
-    w = F.lit(0)
-    for p in POISSON:
-        w = w + (F.col("u") >= p).cast("int")
-    return w
-
-
-def paired_difference(df: DataFrame, key: str, gold: str, a: str, b: str, buckets: int = 1000, reps: int = 200, seed: int = 17) -> DataFrame:
-    """Accuracy of b less that of a, with the 95 % percentile interval of a Poisson bootstrap over random groups of items."""
-    x, y = (F.col(b) == F.col(gold)).cast("int"), (F.col(a) == F.col(gold)).cast("int")
-    by = _bucketed(df, key, {"s": F.sum(x - y), "up": F.count_if(x > y), "down": F.count_if(x < y)}, buckets, reps, seed)
-    fact = by.where("rep = 1").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("difference"), F.sum("up").alias("fixes"), F.sum("down").alias("breaks"))
-    per = by.withColumn("w", _weight()).groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("d"))
-    ends = per.agg(*(F.round(F.percentile("d", p), 6).alias(n) for p, n in ((0.025, "low"), (0.975, "high"))))
-    return fact.crossJoin(F.broadcast(ends)).withColumn("verdict", F.when(F.col("low") > 0, "better").when(F.col("high") < 0.03, "not better").otherwise("inconclusive"))  # one row each
-
-
-def paired_metrics(evals: DataFrame, a: str, b: str, buckets: int = 1000, reps: int = 200, seed: int = 19) -> DataFrame:
-    """Mean score of config b less that of a over shared items, runs of an item averaged first: interval, p of a sign-flip
-    test over random groups of items, a star if 0 is outside, and the items that would show differences of 0.1 to 0.5 at 80 % power."""
-    d = evals.where(F.col("config").isin(a, b)).groupBy("item").agg(F.avg(F.when(F.col("config") == b, F.col("overall"))).alias("y"), F.avg(F.when(F.col("config") == a, F.col("overall"))).alias("x")).where("x is not null and y is not null").select("item", (F.col("y") - F.col("x")).alias("d"))
-    by = _bucketed(d, "item", {"s": F.sum("d"), "q": F.sum(F.col("d") * F.col("d"))}, buckets, reps, seed)
-    fact = by.where("rep = 1").agg(F.sum("n").alias("n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"))
-    per = by.withColumn("w", _weight()).groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("d"), F.sum(F.when(F.col("u") < 0.5, F.col("s")).otherwise(-F.col("s"))).alias("f"))
-    ends = per.crossJoin(F.broadcast(fact.select("_s"))).agg(*(F.round(F.percentile("d", p), 6).alias(n) for p, n in ((0.025, "low"), (0.975, "high"))), F.round((F.count_if(F.abs("f") >= F.abs("_s") - 1e-9) + 1) / (F.count("*") + 1), 6).alias("p"))
-    var = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
-    return fact.crossJoin(F.broadcast(ends)).select("n", F.round(F.col("_s") / F.col("n"), 6).alias("difference"), "low", "high", "p", ((F.col("low") > 0) | (F.col("high") < 0)).alias("star"), *(F.ceil(F.round(2.8 * 2.8 * var / (e * e), 6)).alias(f"need_{int(e * 10)}") for e in (0.1, 0.2, 0.3, 0.5)))
-
-
-def noise_floor(evals: DataFrame, a: str, b: str, first: str, second: str) -> DataFrame:
-    """The mean difference between two configs beside that between two runs (here: judges) of one config."""
-    return evals.where(F.col("config").isin(a, b)).agg(*(F.round(F.avg(F.when(y, F.col("overall"))) - F.avg(F.when(x, F.col("overall"))), 6).alias(n) for n, x, y in (("difference", F.col("config") == a, F.col("config") == b), ("noise", (F.col("config") == a) & (F.col("judge") == first), (F.col("config") == a) & (F.col("judge") == second)))))
-
-
 def list_configs(evals: DataFrame) -> DataFrame:
     """Configs with their parts and numbers of items; empty parts leave no trace in the name."""
     return evals.groupBy(F.concat_ws(":", "config", F.nullif("rubric", F.lit("")), F.lit("t0")).alias("config")).agg(F.countDistinct("item").alias("n_items"))
@@ -236,9 +191,6 @@ QUERIES = {
     "score_table": lambda s, d: score_table(_evals(s, d)),
     "judge_pair": lambda s, d: judge_pair(_two_rubrics(s, d), "m/x", "h/y"),
     "fixed_text_spread": lambda s, d: fixed_text_spread(_evals(s, d)),
-    "paired_difference": lambda s, d: paired_difference(B.preds(s, d), "item", "gold", "a", "b"),
-    "paired_metrics": lambda s, d: paired_metrics(_evals(s, d), "m:one", "h:two"),
-    "noise_floor": lambda s, d: noise_floor(_evals(s, d), "m:one", "h:two", "m/x", "h/y"),
     "list_configs": lambda s, d: list_configs(_evals(s, d)),
     "prefix_unchanged": lambda s, d: prefix_unchanged(_docs(s, d).where("doc_id % 17 <> 4"), _docs(s, d).where("doc_id % 5 < 4").withColumn("text", F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("text"))), "doc_id", "text"),
     "verify_eval_set": lambda s, d: verify_eval_set(_set(s, d), B.table(s, d, "documents").where("doc_id % 4 = 0"), B.table(s, d, "labels")),
@@ -246,14 +198,8 @@ QUERIES = {
 _u = B.sql_uniform
 _EV = f"""r AS (SELECT doc_id, text, n_chars, {_u("doc_id", 9)} % 3 AS u, CAST(least(5, 1 + floor(n_chars / 400)) AS INT) AS a, CAST(least(5, 1 + floor(length(regexp_replace(text, '[^ ]', '', 'g')) / 60)) AS INT) AS b FROM documents),
     evals AS (SELECT doc_id AS item, 'v2' AS rubric, n_chars < 60 AS deflects, unnest([{{'config': 'm:one', 'judge': 'm/x', 'overall': a}}, {{'config': 'm:one', 'judge': 'h/y', 'overall': b}}, {{'config': 'h:two', 'judge': 'm/x', 'overall': greatest(1, a - (u = 0)::INT)}}, {{'config': 'h:two', 'judge': 'h/y', 'overall': least(5, b + (u = 1)::INT)}}], recursive := true) FROM r)"""
-_W = "(" + " + ".join(f"(u >= {p})::INT" for p in POISSON) + ")"
-
-
-def _draws(key: str, source: str, sums: str, seed: int) -> str:
-    return f"g AS (SELECT {_u(key, seed)} % 1000 AS bucket, count(*) AS n, {sums} FROM {source} GROUP BY 1), x AS (SELECT g.*, rep, {_u(f'(bucket || {chr(39)}-{chr(39)} || rep)', seed)} / 4294967296.0 AS u FROM g, range(1, 201) t(rep)), w AS (SELECT *, {_W} AS w FROM x)"
 
 
-_ENDS = "round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high"
 ORACLE_SQL = {
     "field_agreement": f"WITH {B.SQL_PREDS}, p AS (SELECT coalesce(nullif(a, 'en'), '') AS a, coalesce(nullif(b, 'en'), '') AS b FROM preds) SELECT count(*) AS n, round(avg((a = b)::INT), 6) AS exact, count(*) FILTER (a = '' AND b = '') AS both_blank, count(DISTINCT a) AS values_a, count(DISTINCT b) AS values_b FROM p",
     "field_distribution": f"WITH {B.SQL_PREDS} SELECT 'a' AS field, coalesce(nullif(a, 'en'), '') AS value, count(*) AS n FROM preds GROUP BY ALL UNION ALL SELECT 'b', coalesce(nullif(b, 'en'), ''), count(*) FROM preds GROUP BY ALL",
@@ -270,9 +216,6 @@ ORACLE_SQL = {
     "score_table": f"WITH {_EV} SELECT judge, rubric, config, count(*) AS n, round(avg(overall), 6) AS overall, round(avg(deflects::INT), 6) AS deflection, split_part(judge, '/', 1) = split_part(config, ':', 1) AS same_family FROM evals GROUP BY judge, rubric, config",
     "judge_pair": f"WITH {_EV}, p AS (SELECT x.overall AS x, y.overall AS y, x.deflects = (y.deflects OR item % 5 = 0) AS f FROM evals x JOIN evals y USING (item, config) WHERE x.judge = 'm/x' AND y.judge = 'h/y' AND item % 7 <> 0) SELECT count(*) AS n, count(*) FILTER (x = y) AS exact, count(*) FILTER (abs(x - y) <= 1) AS within_1, round(avg(x - y), 6) AS bias, round(avg(f::INT), 6) AS same_flag FROM p",
     "fixed_text_spread": f"WITH {_EV} SELECT config, max(overall) - min(overall) AS range, round(stddev_samp(overall), 6) AS std, round(avg(overall), 6) AS mean, count(*) FILTER (deflects) AS flags FROM evals WHERE config = 'm:one' GROUP BY config",
-    "paired_difference": f"WITH {B.SQL_PREDS}, {_draws('item', 'preds', 'sum((b = gold)::INT - (a = gold)::INT) AS s, count(*) FILTER (b = gold AND a <> gold) AS up, count(*) FILTER (b <> gold AND a = gold) AS down', 17)}, r AS (SELECT sum(w * s) / nullif(sum(w * n), 0)::DOUBLE AS d FROM w GROUP BY rep), e AS (SELECT {_ENDS} FROM r), f AS (SELECT round(sum(s) / sum(n)::DOUBLE, 6) AS difference, CAST(sum(up) AS BIGINT) AS fixes, CAST(sum(down) AS BIGINT) AS breaks FROM g) SELECT *, CASE WHEN low > 0 THEN 'better' WHEN high < 0.03 THEN 'not better' ELSE 'inconclusive' END AS verdict FROM f, e",
-    "paired_metrics": f"WITH {_EV}, d AS (SELECT item, avg(overall) FILTER (config = 'h:two') - avg(overall) FILTER (config = 'm:one') AS d FROM evals GROUP BY item), {_draws('item', 'd', 'sum(d) AS s, sum(d * d) AS q', 19)}, f AS (SELECT sum(n) AS n, sum(s) AS s, sum(q) AS q FROM g), rr AS (SELECT sum(w * s) / nullif(sum(w * n), 0) AS d, sum(CASE WHEN u < 0.5 THEN s ELSE -s END) AS f FROM w GROUP BY rep), e AS (SELECT {_ENDS}, round((count(*) FILTER (abs(rr.f) >= abs(f.s) - 1e-9) + 1) / (count(*) + 1.0::DOUBLE), 6) AS p FROM rr, f) SELECT CAST(n AS BIGINT) AS n, round(s / n, 6) AS difference, low, high, p, low > 0 OR high < 0 AS star, " + ", ".join(f"CAST(ceil(round(2.8 * 2.8 * ((q - s * s / n) / nullif(n - 1, 0)) / ({e} * {e}), 6)) AS BIGINT) AS need_{int(e * 10)}" for e in (0.1, 0.2, 0.3, 0.5)) + " FROM f, e",
-    "noise_floor": f"WITH {_EV} SELECT round(avg(overall) FILTER (config = 'h:two') - avg(overall) FILTER (config = 'm:one'), 6) AS difference, round(avg(overall) FILTER (config = 'm:one' AND judge = 'h/y') - avg(overall) FILTER (config = 'm:one' AND judge = 'm/x'), 6) AS noise FROM evals",
     "list_configs": f"WITH {_EV} SELECT config || ':v2:t0' AS config, count(DISTINCT item) AS n_items FROM evals GROUP BY 1",
     "prefix_unchanged": "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE text END AS p FROM documents WHERE doc_id % 5 < 4), n AS (SELECT doc_id, text AS q FROM documents WHERE doc_id % 17 <> 4), j AS (SELECT t.doc_id AS a, n.doc_id AS b, p, q FROM t FULL JOIN n ON t.doc_id = n.doc_id) SELECT count(*) FILTER (b IS NULL) AS lost, count(*) FILTER (a = b AND p IS DISTINCT FROM q) AS changed, count(*) FILTER (a = b AND p IS NOT DISTINCT FROM q) AS same, count(*) FILTER (a IS NULL) AS added FROM j",
     "verify_eval_set": f"WITH {_EVAL} SELECT 'leak' AS problem, doc_id FROM e WHERE doc_id % 4 = 0 UNION ALL SELECT 'label_outside', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM e)",

@@ -7,7 +7,7 @@ from convan.functions.scratch import new_path, ranked
 from convan.operators.editing import apply_edits
 from convan.operators.evaluation import assemble, calibration_gap, confusion_matrix, fingerprint, route
 from convan.operators.guard import HOSTS, NO_CONTENT, STOP_WORDS, guard_verdicts, is_generic, sanitize
-from convan.operators.judging import paired_difference, version_classes, version_moves
+from convan.operators.judging import version_classes, version_moves
 from convan.operators.policies import route_triggers, select_rule, vote_summary
 from convan.operators.review import flags_from_string, has_flag, migrate_categories, rank_correlation
 from convan.operators.sampling import coverage_plan, stratified_folds
@@ -63,11 +63,6 @@ def test_base_rule_stays_when_none_is_worth_it(spark):
     assert select_rule(scores, "a").first().rule == "a"
 
 
-def test_empty_table_has_no_difference(spark):
-    r = paired_difference(spark.createDataFrame([], "item long, gold string, a string, b string"), "item", "gold", "a", "b").first()
-    assert r.difference is None and r.low is None and r.verdict == "inconclusive"
-
-
 def test_refusals(spark):
     df, path = spark.createDataFrame([(1, "a")], "id long, l string"), new_path(spark, "t")
     write_frozen(df, path)
