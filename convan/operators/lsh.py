@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convan.functions.scratch import saved
-from convan.operators.vectors import block_top_k
+from convan.operators.vectors import block_top_k, usable
 from convan.plans import bindings as B
 
 TABLES, TARGET, SAMPLE, BLOCK, SEED = 8, 0.95, 2_048, 4_096, 29
@@ -60,9 +60,8 @@ def vector_top_k_lsh(queries: DataFrame, corpus: DataFrame, id_col: str, vec: st
     Cells are fitted on at most `sample` rows of the corpus; every row is indexed. Null, empty and zero vectors take no part;
     all vectors have one length. Rows that repeat an id count once, by the nearest; an empty side gives an empty table."""
     v = F.col(vec).cast("array<double>")
-    usable = F.col(vec).isNotNull() & (F.size(vec) > 0) & F.exists(v, lambda x: x != 0)
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda df: df.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(v, lambda x: x / length).alias("v"))
+    unit = lambda df: df.where(usable(vec) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(v, lambda x: x / length).alias("v"))
     base, asked = unit(corpus), unit(queries)
     held = base.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()  # at most `sample` rows
     if held.empty:
