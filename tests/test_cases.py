@@ -229,3 +229,22 @@ def test_text_classifier_on_rows_not_seen(spark):
     assert (rows["lang"] == rows["predicted"]).mean() > 0.9
     with pytest.raises(ValueError):
         fit_text_classifier(spark.createDataFrame([("a", "x")] * 9, "text string, label string"), "text", "label")
+
+
+def test_hits_in_order_of_the_text(spark):
+    """Starts in characters, also behind letters beyond 16 bits; families that overlap; a text of many hits."""
+    import re
+
+    from convan.operators.guard import FAMILIES, placeholder_hits
+
+    texts = ["[a] 🙂é {b} [c]", "{{x}} at http://bad.test/q and https://example.org", "@12345@67890[Z]", "", None, "__name__ " * 300 + "[end]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [(r.id, r.start, r.name, r.match) for r in placeholder_hits(df, "id", "t", HOSTS).orderBy("id", "nth").collect()]
+    want = []
+    for i, t in enumerate(texts):
+        found = [(m.start(), n, m[0]) for n, p in FAMILIES.items() for m in re.finditer(p, t or "")]
+        found += [(m.start(), "unverified_url", m[0]) for m in re.finditer(r"https?://[^ )]+", t or "") if "bad" in m[0]]
+        want += [(i, *x) for x in sorted(found)]
+    assert got == want and len(got) > 300
+    only = placeholder_hits(df, "id", "t", HOSTS, {"mine": "at"}).collect()
+    assert {(r.name, r.start) for r in only} == {("mine", 6), ("unverified_url", 9)}
