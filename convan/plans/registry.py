@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "grounding"
-MODULES = ["convan.operators.threads", "convan.operators.sampling", "convan.operators.text", "convan.operators.evaluation", "convan.operators.review", "convan.operators.editing", "convan.operators.vectors", "convan.operators.lsh", "convan.operators.guard", "convan.operators.policies", "convan.operators.judging", "convan.operators.replicates", "convan.operators.evalset", "convan.sources.files", "convan.streaming.streams", "convan.operators.scoring", "convan.operators.models"]
+MODULES = ["convan.operators.threads", "convan.operators.sampling", "convan.operators.text", "convan.operators.evaluation", "convan.operators.review", "convan.operators.editing", "convan.operators.vectors", "convan.operators.lsh", "convan.operators.guard", "convan.operators.policies", "convan.operators.judging", "convan.operators.replicates", "convan.operators.evalset", "convan.sources.files", "convan.sources.taxonomy", "convan.streaming.streams", "convan.operators.scoring", "convan.operators.models"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
