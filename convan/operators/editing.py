@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convan.functions.scratch import ranked
@@ -28,6 +28,14 @@ def default_usage(df: DataFrame, cols: list[str]) -> DataFrame:
     return top.select("field", "value", F.round("share", 6).alias("share"), (F.col("share") >= 0.95).alias("defaulted"))
 
 
+def usage_shares(df: DataFrame, uses: dict[str, Column], rare: float = 0.05) -> DataFrame:
+    """Per use of a field (flags set, a second value given): rows with it, all rows, their share, and whether that is near none. A null is no use."""
+    counts = df.agg(F.count("*").alias("n_rows"), *(F.count_if(c).alias(f"_{i}") for i, c in enumerate(uses.values())))
+    long = counts.select("n_rows", F.inline(F.array(*(F.struct(F.lit(n).alias("use"), F.col(f"_{i}").alias("n")) for i, n in enumerate(uses)))))
+    share = F.col("n") / F.nullif(F.col("n_rows"), F.lit(0))
+    return long.select("use", "n", "n_rows", F.round(share, 6).alias("share"), (share < rare).alias("near_none"))
+
+
 def progress(items: DataFrame, done: dict[str, DataFrame], key: str) -> DataFrame:
     """Per version: distinct items of the set that have a result, and the size of the set."""
     total = items.agg(F.countDistinct(key).alias("n_items"))  # one row
@@ -126,6 +134,7 @@ _verdicts = lambda s, d, c: B.preds(s, d).select("item", F.when(F.col(c) == F.co
 QUERIES = {
     "middle_of_ranking": lambda s, d: middle_of_ranking(B.table(s, d, "events"), "user_id", 5),
     "default_usage": lambda s, d: default_usage(B.route_in(s, d), ["intent", "legal_sensitive", "abusive_content", "wants_human"]),
+    "usage_shares": lambda s, d: usage_shares(B.route_in(s, d), {"flags": F.col("legal_sensitive") | F.col("abusive_content") | F.col("wants_human"), "second": F.col("triage") & F.col("churn_risk"), "escalated": F.col("escalate")}),
     "progress": lambda s, d: progress(_docs(s, d), {"labels": B.table(s, d, "labels"), "preds": B.preds(s, d).where("a <> 'en'").withColumnRenamed("item", "doc_id")}, "doc_id"),
     "scorable": lambda s, d: scorable(B.gold(s, d).select("doc_id", "lang", "source"), B.gold(s, d).select("doc_id", F.when(B.uniform("doc_id", 7) % 10 < 6, "dev").otherwise("holdout").alias("split")), "doc_id", "dev", "source", ["web"]),
     "orphan_edits": lambda s, d: orphan_edits(B.gold(s, d), _edits(s, d), "doc_id"),
@@ -149,6 +158,7 @@ _VERDICT = "SELECT item, CASE WHEN {c} = gold THEN 'gold' ELSE 'model' END AS ve
 ORACLE_SQL = {
     "middle_of_ranking": "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS rank, count(*) OVER () // 2 AS half FROM c) SELECT user_id, n, rank FROM r WHERE rank > half - 5 AND rank <= half + 5",
     "default_usage": f"WITH {B.SQL_ROUTE}, l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, coalesce({c}::VARCHAR, '') AS value FROM route_in" for c in ("intent", "legal_sensitive", "abusive_content", "wants_human")) + "), c AS (SELECT field, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY field) AS t FROM l GROUP BY field, value) SELECT field, value, round(n / t, 6) AS share, n / t >= 0.95 AS defaulted FROM c QUALIFY row_number() OVER (PARTITION BY field ORDER BY n DESC, value) = 1",
+    "usage_shares": f"WITH {B.SQL_ROUTE}, c AS (SELECT 'flags' AS use, count(*) FILTER (legal_sensitive OR abusive_content OR wants_human) AS n, count(*) AS n_rows FROM route_in UNION ALL SELECT 'second', count(*) FILTER (triage AND churn_risk), count(*) FROM route_in UNION ALL SELECT 'escalated', count(*) FILTER (escalate), count(*) FROM route_in) SELECT *, round(n / nullif(n_rows, 0)::DOUBLE, 6) AS share, n / nullif(n_rows, 0)::DOUBLE < 0.05 AS near_none FROM c",
     "progress": f"WITH {B.SQL_PREDS} SELECT 'labels' AS version, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) AS n_done, count(DISTINCT doc_id) AS n_items FROM documents UNION ALL SELECT 'preds', (SELECT count(DISTINCT item) FROM preds WHERE a <> 'en'), count(DISTINCT doc_id) FROM documents",
     "scorable": f"WITH {B.SQL_GOLD} SELECT doc_id, lang, source FROM gold WHERE {_u(7)} % 10 < 6 AND source IS DISTINCT FROM 'web'",
     "orphan_edits": f"WITH {_EDITS}, p AS (SELECT e.doc_id, CASE WHEN g.doc_id IS NULL THEN 'unknown' WHEN trim(e.label) = '' THEN 'undecided' END AS problem FROM edits e LEFT JOIN gold g ON e.doc_id = g.doc_id) SELECT * FROM p WHERE problem IS NOT NULL",

@@ -80,6 +80,17 @@ def adjudication_rollup(df: DataFrame, cls: str, verdict: str) -> DataFrame:
     return df.groupBy(cls).agg(F.count("*").alias("n"), F.count_if(v == "gold").alias("for_gold"), F.count_if(v == "model").alias("for_model"), F.count_if(v == "open").alias("open"), F.round(F.avg((v == "right").cast("double")), 6).alias("now"), F.round(F.avg(v.isin("right", "model").cast("double")), 6).alias("after"), F.round(F.avg(v.isin("right", "model", "open").cast("double")), 6).alias("at_best"))
 
 
+def verdict_counts(df: DataFrame, by: str, verdict: str, verdicts: list[str]) -> DataFrame:
+    """Rows of each value of `by` (a class, a side) with each verdict, and in all; null values are a group."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), *(F.count_if(F.col(verdict) == v).alias(f"n_{v}") for v in verdicts))
+
+
+def settling_rules(df: DataFrame, key: str, verdict: str, rule: str, unsettled: str = "open", residual: str = "residual") -> DataFrame:
+    """Of the rows without a verdict: how many each rule settles, and the smallest key; rows without a rule are residual, which nothing settles."""
+    left = df.where(F.col(verdict) == unsettled).groupBy(F.coalesce(F.nullif(F.trim(rule), F.lit("")), F.lit(residual)).alias("rule"))
+    return left.agg(F.count("*").alias("n"), F.min(key).alias("first")).withColumn("settled", F.col("rule") != residual)
+
+
 def rule_violations(df: DataFrame, key: str, label: str, rule: str, winners: dict[str, list[str]], excludes: dict[str, list[str]], exceptions: list[int]) -> DataFrame:
     """Labels that contradict their recorded rule: not a winner of it, or excluded by it; known exceptions are marked."""
     problem = None
@@ -122,9 +133,16 @@ def fixed_text_spread(evals: DataFrame) -> DataFrame:
     return g.where("_a = _b").drop("_a", "_b")
 
 
-def list_configs(evals: DataFrame) -> DataFrame:
-    """Configs with their parts and numbers of items; empty parts leave no trace in the name."""
-    return evals.groupBy(F.concat_ws(":", "config", F.nullif("rubric", F.lit("")), F.lit("t0")).alias("config")).agg(F.countDistinct("item").alias("n_items"))
+def config_label(kind: Column, version: Column, filter_: Column, temperature: Column, tag: Column, production: float) -> Column:
+    """kind:version[:filter][:tTEMPERATURE][:tag]; a part that is blank, null or the production temperature leaves no trace."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    shown = F.regexp_replace(temperature.cast("double").cast("string"), r"\.0$", "")
+    return F.concat_ws(":", blank(kind), blank(version), blank(filter_), F.when(temperature != production, F.concat(F.lit("t"), shown)), blank(tag))
+
+
+def list_configs(evals: DataFrame, label: Column) -> DataFrame:
+    """Labels of configs with their numbers of items."""
+    return evals.groupBy(label.alias("config")).agg(F.countDistinct("item").alias("n_items"))
 
 
 def prefix_unchanged(log: DataFrame, then: DataFrame, seq: str, value: str) -> DataFrame:
@@ -191,7 +209,9 @@ QUERIES = {
     "score_table": lambda s, d: score_table(_evals(s, d)),
     "judge_pair": lambda s, d: judge_pair(_two_rubrics(s, d), "m/x", "h/y"),
     "fixed_text_spread": lambda s, d: fixed_text_spread(_evals(s, d)),
-    "list_configs": lambda s, d: list_configs(_evals(s, d)),
+    "list_configs": lambda s, d: list_configs(_evals(s, d), config_label(F.col("config"), F.col("rubric"), F.when(F.col("judge") == "h/y", "f1").otherwise(" "), F.when(F.col("item") % 3 == 0, 0.0).otherwise(0.7), F.when(F.col("item") % 5 == 0, "rerun"), 0.7)),
+    "verdict_sides": lambda s, d: verdict_counts(B.preds(s, d).withColumn("v", _verdict()).withColumn("side", F.when(F.col("gold").isin("en", "de"), "north").otherwise("south")), "side", "v", ["right", "gold", "model", "open"]),
+    "settling_rules": lambda s, d: settling_rules(B.preds(s, d).withColumn("v", _verdict()).withColumn("rule", F.when(B.uniform("item", 24) % 4 > 0, F.concat(F.lit("r"), (B.uniform("item", 24) % 4).cast("string")))), "item", "v", "rule"),
     "prefix_unchanged": lambda s, d: prefix_unchanged(_docs(s, d).where("doc_id % 17 <> 4"), _docs(s, d).where("doc_id % 5 < 4").withColumn("text", F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("text"))), "doc_id", "text"),
     "verify_eval_set": lambda s, d: verify_eval_set(_set(s, d), B.table(s, d, "documents").where("doc_id % 4 = 0"), B.table(s, d, "labels")),
 }
@@ -200,7 +220,11 @@ _EV = f"""r AS (SELECT doc_id, text, n_chars, {_u("doc_id", 9)} % 3 AS u, CAST(l
     evals AS (SELECT doc_id AS item, 'v2' AS rubric, n_chars < 60 AS deflects, unnest([{{'config': 'm:one', 'judge': 'm/x', 'overall': a}}, {{'config': 'm:one', 'judge': 'h/y', 'overall': b}}, {{'config': 'h:two', 'judge': 'm/x', 'overall': greatest(1, a - (u = 0)::INT)}}, {{'config': 'h:two', 'judge': 'h/y', 'overall': least(5, b + (u = 1)::INT)}}], recursive := true) FROM r)"""
 
 
+_V = f"v AS (SELECT item, gold, CASE WHEN a = gold THEN 'right' WHEN {_u('item', 21)} % 3 = 0 THEN 'gold' WHEN {_u('item', 21)} % 3 = 1 THEN 'model' ELSE 'open' END AS v FROM preds)"
 ORACLE_SQL = {
+    "list_configs": f"WITH {_EV} SELECT config || ':v2' || CASE WHEN judge = 'h/y' THEN ':f1' ELSE '' END || CASE WHEN item % 3 = 0 THEN ':t0' ELSE '' END || CASE WHEN item % 5 = 0 THEN ':rerun' ELSE '' END AS config, count(DISTINCT item) AS n_items FROM evals GROUP BY 1",
+    "verdict_sides": f"WITH {B.SQL_PREDS}, {_V} SELECT CASE WHEN gold IN ('en', 'de') THEN 'north' ELSE 'south' END AS side, count(*) AS n, " + ", ".join(f"count(*) FILTER (v = '{x}') AS n_{x}" for x in ("right", "gold", "model", "open")) + " FROM v GROUP BY 1",
+    "settling_rules": f"WITH {B.SQL_PREDS}, {_V}, r AS (SELECT item, CASE WHEN {_u('item', 24)} % 4 > 0 THEN 'r' || ({_u('item', 24)} % 4) ELSE 'residual' END AS rule FROM v WHERE v = 'open') SELECT rule, count(*) AS n, min(item) AS first, rule <> 'residual' AS settled FROM r GROUP BY rule",
     "field_agreement": f"WITH {B.SQL_PREDS}, p AS (SELECT coalesce(nullif(a, 'en'), '') AS a, coalesce(nullif(b, 'en'), '') AS b FROM preds) SELECT count(*) AS n, round(avg((a = b)::INT), 6) AS exact, count(*) FILTER (a = '' AND b = '') AS both_blank, count(DISTINCT a) AS values_a, count(DISTINCT b) AS values_b FROM p",
     "field_distribution": f"WITH {B.SQL_PREDS} SELECT 'a' AS field, coalesce(nullif(a, 'en'), '') AS value, count(*) AS n FROM preds GROUP BY ALL UNION ALL SELECT 'b', coalesce(nullif(b, 'en'), ''), count(*) FROM preds GROUP BY ALL",
     "window_range": f"WITH {B.SQL_PREDS}, r AS (SELECT (row_number() OVER (ORDER BY item) - 1) // greatest(10, count(*) OVER () // 5) AS chunk, (gold = b)::INT AS h FROM preds), w AS (SELECT round(avg(h), 6) AS v FROM r GROUP BY chunk HAVING count(*) >= 5) SELECT count(*) AS n_windows, min(v) AS least, max(v) AS most, round(max(v) - min(v), 6) AS range FROM w",
@@ -216,7 +240,6 @@ ORACLE_SQL = {
     "score_table": f"WITH {_EV} SELECT judge, rubric, config, count(*) AS n, round(avg(overall), 6) AS overall, round(avg(deflects::INT), 6) AS deflection, split_part(judge, '/', 1) = split_part(config, ':', 1) AS same_family FROM evals GROUP BY judge, rubric, config",
     "judge_pair": f"WITH {_EV}, p AS (SELECT x.overall AS x, y.overall AS y, x.deflects = (y.deflects OR item % 5 = 0) AS f FROM evals x JOIN evals y USING (item, config) WHERE x.judge = 'm/x' AND y.judge = 'h/y' AND item % 7 <> 0) SELECT count(*) AS n, count(*) FILTER (x = y) AS exact, count(*) FILTER (abs(x - y) <= 1) AS within_1, round(avg(x - y), 6) AS bias, round(avg(f::INT), 6) AS same_flag FROM p",
     "fixed_text_spread": f"WITH {_EV} SELECT config, max(overall) - min(overall) AS range, round(stddev_samp(overall), 6) AS std, round(avg(overall), 6) AS mean, count(*) FILTER (deflects) AS flags FROM evals WHERE config = 'm:one' GROUP BY config",
-    "list_configs": f"WITH {_EV} SELECT config || ':v2:t0' AS config, count(DISTINCT item) AS n_items FROM evals GROUP BY 1",
     "prefix_unchanged": "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE text END AS p FROM documents WHERE doc_id % 5 < 4), n AS (SELECT doc_id, text AS q FROM documents WHERE doc_id % 17 <> 4), j AS (SELECT t.doc_id AS a, n.doc_id AS b, p, q FROM t FULL JOIN n ON t.doc_id = n.doc_id) SELECT count(*) FILTER (b IS NULL) AS lost, count(*) FILTER (a = b AND p IS DISTINCT FROM q) AS changed, count(*) FILTER (a = b AND p IS NOT DISTINCT FROM q) AS same, count(*) FILTER (a IS NULL) AS added FROM j",
     "verify_eval_set": f"WITH {_EVAL} SELECT 'leak' AS problem, doc_id FROM e WHERE doc_id % 4 = 0 UNION ALL SELECT 'label_outside', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM e)",
 }

@@ -13,6 +13,13 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     return df.withColumn("u", B.uniform(id_col, seed)).orderBy("u", id_col).limit(n)
 
 
+def text_blocks(sample: DataFrame, id_col: str, text: str, by: str = "u") -> DataFrame:
+    """number (from 1, by `by` and id) and block: the number, the id and the text of each row, for reading; write the column as text. Null texts are empty."""
+    placed = ranked(sample.select(id_col, text, by), [F.col(by), F.col(id_col)], name="number")
+    block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    return placed.select(F.col("number").cast("long").alias("number"), block.alias("block"))
+
+
 def _rank(df: DataFrame, id_col: str, cls: str, seed: int) -> DataFrame:
     """Rows numbered at random within their class; a class that holds most rows is numbered by many tasks."""
     return ranked(df.withColumn("u", B.uniform(id_col, seed)), [F.col("u"), F.col(id_col)], (cls,), "k")
@@ -63,6 +70,7 @@ def _split(s, d):
 
 CLASSES = ["en", "de", "fr", "es", "it", "pt"]  # of the plan, also those that no row has
 QUERIES = {
+    "text_blocks": lambda s, d: text_blocks(sample_n(_docs(s, d), "doc_id", 50, 42), "doc_id", "text"),
     "sample_n": lambda s, d: sample_n(_docs(s, d), "doc_id", 50, 42).select("doc_id", "u"),
     "sample_stratified": lambda s, d: sample_stratified(_docs(s, d), "doc_id", "lang", 30, 4, 42).select("doc_id", "lang", "extra"),
     "split_stratified": _split,
@@ -73,6 +81,7 @@ QUERIES = {
 _u = lambda seed: B.sql_uniform("doc_id", seed)
 _SPLIT = f"{B.SQL_GOLD}, split AS (SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {_u(7)}, doc_id) <= round_even(count(*) OVER (PARTITION BY lang) * 0.6, 0) THEN 'dev' ELSE 'holdout' END AS split FROM gold)"
 ORACLE_SQL = {
+    "text_blocks": f"WITH p AS (SELECT doc_id, text, row_number() OVER (ORDER BY {_u(42)}, doc_id) AS number FROM documents QUALIFY number <= 50) SELECT number, '[' || number || '] ' || doc_id || chr(10) || coalesce(text, '') || chr(10) AS block FROM p",
     "sample_n": f"SELECT doc_id, {_u(42)} AS u FROM documents ORDER BY u, doc_id LIMIT 50",
     "sample_stratified": f"WITH r AS (SELECT doc_id, lang, {_u(42)} AS u, row_number() OVER (PARTITION BY lang ORDER BY {_u(42)}, doc_id) > 7 AS extra FROM documents) SELECT doc_id, lang, extra FROM r ORDER BY extra, u, doc_id LIMIT 30",
     "split_stratified": f"WITH {_SPLIT} SELECT * FROM split",
