@@ -76,7 +76,7 @@ QUERIES = {
     "split_stratified": _split,
     "split_report": lambda s, d: split_report(_split(s, d).join(B.table(s, d, "labels").hint("merge"), "doc_id").withColumn("ok", F.col("quality") == 1), "lang", "ok"),
     "stratified_folds": lambda s, d: stratified_folds(B.gold(s, d), "doc_id", "lang", 5, 3),
-    "coverage_plan": lambda s, d: coverage_plan(B.gold(s, d), _docs(s, d).where("source <> 'web'"), "lang", 100, CLASSES),
+    "coverage_plan": lambda s, d: coverage_plan(B.gold(s, d), _docs(s, d), "lang", 100, CLASSES),
 }
 _u = lambda seed: B.sql_uniform("doc_id", seed)
 _SPLIT = f"{B.SQL_GOLD}, split AS (SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {_u(7)}, doc_id) <= round_even(count(*) OVER (PARTITION BY lang) * 0.6, 0) THEN 'dev' ELSE 'holdout' END AS split FROM gold)"
@@ -87,5 +87,5 @@ ORACLE_SQL = {
     "split_stratified": f"WITH {_SPLIT} SELECT * FROM split",
     "split_report": f"WITH {_SPLIT} SELECT lang, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'holdout') AS holdout, count(*) FILTER (split = 'dev' AND quality = 1) AS dev_scorable, count(*) FILTER (split = 'holdout' AND quality = 1) AS holdout_scorable, count(*) FILTER (split = 'holdout') < 3 AS thin FROM split JOIN labels USING (doc_id) GROUP BY lang",
     "stratified_folds": f"WITH {B.SQL_GOLD} SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY {_u(3)}, doc_id) - 1) % (SELECT least(min(n), 5) FROM (SELECT count(*) AS n FROM gold GROUP BY lang)) AS fold FROM gold",
-    "coverage_plan": f"WITH {B.SQL_GOLD}, h AS (SELECT lang, count(*) AS n FROM gold GROUP BY lang), a AS (SELECT lang, count(*) AS a FROM documents WHERE source <> 'web' GROUP BY lang) SELECT lang, coalesce(n, 0) AS have, greatest(100 - coalesce(n, 0), 0) AS need, coalesce(a, 0) AS available FROM (SELECT unnest({CLASSES}) AS lang) LEFT JOIN h USING (lang) LEFT JOIN a USING (lang)",
+    "coverage_plan": f"WITH {B.SQL_GOLD}, h AS (SELECT lang, count(*) AS n FROM gold GROUP BY lang), a AS (SELECT lang, count(*) AS a FROM documents GROUP BY lang) SELECT lang, coalesce(n, 0) AS have, greatest(100 - coalesce(n, 0), 0) AS need, coalesce(a, 0) AS available FROM (SELECT unnest({CLASSES}) AS lang) LEFT JOIN h USING (lang) LEFT JOIN a USING (lang)",
 }

@@ -39,8 +39,8 @@ def dedupe(df: DataFrame, keys: list[str], order: list[str], keep: str) -> DataF
 
 
 def rescored(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Rows, keys, keys with several rows, and keys whose value differs between first and last."""
-    by = df.groupBy(key).agg(F.count("*").alias("n"), F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+    """Rows, keys, keys with several rows, and keys whose value differs between first and last. Keys meet by digest, so that a long text isn't shuffled; a null key is one."""
+    by = df.groupBy(F.sha2(F.col(key).cast("string"), 256)).agg(F.count("*").alias("n"), F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
     return by.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.count_if(~F.col("first").eqNullSafe(F.col("last"))).alias("n_changed"))
 
 
@@ -69,13 +69,13 @@ def _docs(spark, d):
 
 QUERIES = {
     "pair_replies": lambda s, d: pair_replies(B.msgs(s, d), "assistant"),
-    "attach_parent": lambda s, d: attach_parent(B.msgs(s, d).where("author = 'user' or author = 'assistant' or author = 'system'"), "assistant"),
+    "attach_parent": lambda s, d: attach_parent(B.msgs(s, d), "assistant"),
     "stitch_replies": lambda s, d: stitch_replies(B.msgs(s, d).where("author = 'assistant'"), "conv_id", "turn", "text"),
     "dedupe_first": lambda s, d: dedupe(_docs(s, d), ["source", "lang"], ["n_chars", "doc_id"], "first").select("source", "lang", "doc_id"),
     "rescored": lambda s, d: rescored(_docs(s, d), "text", "doc_id", "source"),
     "unseen": lambda s, d: unseen(_docs(s, d), B.table(s, d, "labels"), "doc_id").select("doc_id"),
     "used_ids": lambda s, d: used_ids({"documents": (_docs(s, d), ["doc_id"]), "labels": (B.table(s, d, "labels"), ["doc_id"]), "lines": (B.table(s, d, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])}),
-    "leaks": lambda s, d: B.table(s, d, "labels").select("doc_id").intersect(_docs(s, d).where("lang = 'en'").select("doc_id")),
+    "leaks": lambda s, d: B.table(s, d, "labels").select("doc_id").intersect(_docs(s, d).select("doc_id")),
 }
 ORACLE_SQL = {
     "pair_replies": f"WITH {B.SQL_MSGS} SELECT q.msg_id AS customer_msg_id, q.text AS customer_text, r.msg_id AS brand_msg_id, r.text AS brand_text FROM msgs r JOIN msgs q ON r.reply_to = q.msg_id WHERE r.author = 'assistant' AND q.author <> 'assistant'",
@@ -85,5 +85,5 @@ ORACLE_SQL = {
     "rescored": "WITH k AS (SELECT text, count(*) AS n, arg_min(source, doc_id) AS f, arg_max(source, doc_id) AS l FROM documents GROUP BY text) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, count(*) FILTER (n > 1) AS n_repeated, count(*) FILTER (f IS DISTINCT FROM l) AS n_changed FROM k",
     "unseen": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "used_ids": "WITH i AS (SELECT 'documents' AS source, doc_id AS id FROM documents UNION ALL SELECT 'labels', doc_id FROM labels UNION ALL SELECT 'lines', unnest([l_orderkey, l_partkey, l_suppkey]) FROM lineitem) SELECT source, count(DISTINCT id) AS n_ids FROM i GROUP BY source UNION ALL SELECT '*', count(DISTINCT id) FROM i",
-    "leaks": "SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'",
+    "leaks": "SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents",
 }

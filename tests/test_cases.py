@@ -203,6 +203,7 @@ def test_conflicting_pairs_equal_brute_force(spark):
     rows += [(i + 200, t, x) for i, t, x in rows[:40]] + [(900, None, "a"), (901, "", "b"), (902, "w1 w2", None)]
     df = spark.createDataFrame(rows, "id long, text string, label string")
     got = {(r.a, r.b): (r.n_pairs, r.similarity) for r in conflicting_pairs(df, "id", "text", "label", 0.45).collect()}
+    assert got == {(r.a, r.b): (r.n_pairs, r.similarity) for r in conflicting_pairs(df, "id", "text", "label", 0.45, postings=7).collect()}  # terms dealt into buckets
     classes = {}
     for i, t, x in rows:
         if x is not None:
