@@ -176,9 +176,18 @@ def fingerprint(df: DataFrame, cols: list[str], order: list[str] | None = None)
 
 
 def over_quota(df: DataFrame, key: str, ts: str, seconds: int, cap: int) -> DataFrame:
-    """Rows at which a key has more than cap rows within the seconds up to then."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("calls", F.count("*").over(w)).where(F.col("calls") > cap)
+    """Rows at which a key has more than cap rows within the seconds up to then.
+
+    Time is cut into spans of that length, and a row is seen from its own span and, without its columns, from the next: so a key
+    with many rows is dealt by spans. Rows without a time count among themselves."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    length = seconds * 1_000_000
+    span = F.floor(at / length)
+    row, seen = F.struct(*df.columns), lambda s, r: F.struct(s.alias("s"), r.alias("r"))
+    spans = F.when(at.isNull(), F.array(seen(span, row))).otherwise(F.array(seen(span, row), seen(span + 1, F.lit(None))))
+    dealt = df.select(F.col(key).alias("_key"), at.alias("_at"), F.explode(spans).alias("_x"))
+    w = Window.partitionBy("_key", "_x.s").orderBy("_at").rangeBetween(-length, 0)
+    return dealt.withColumn("_calls", F.count("*").over(w)).where("_x.r is not null").select("_x.r.*", F.col("_calls").alias("calls")).where(F.col("calls") > cap)
 
 
 def _docs(spark, d):

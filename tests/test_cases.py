@@ -249,3 +249,25 @@ def test_hits_in_order_of_the_text(spark):
     assert got == want and len(got) > 300
     only = placeholder_hits(df, "id", "t", HOSTS, {"mine": "at"}).collect()
     assert {(r.name, r.start) for r in only} == {("mine", 6), ("unverified_url", 9)}
+
+
+def test_quota_of_a_hot_key_is_dealt_by_time(spark):
+    """Half of all rows of one key, over many spans, ties, rows at the very edge of the window and rows without a time; no task sees more than its spans."""
+    import random
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    from convan.operators.evaluation import over_quota
+
+    draw, start = random.Random(2), datetime(2024, 1, 1)
+    rows = [(i, 0 if i % 2 else draw.randint(1, 9), start + timedelta(seconds=draw.choice([draw.randint(0, 4000), 60 * draw.randint(0, 60)])), "x") for i in range(800)] + [(900 + i, 0, None, "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, user int, t timestamp, calls_before string")
+    got = {(r.id, r.calls) for r in over_quota(df, "user", "t", 60, 2).collect()}
+    want = set()
+    for i, u, t, _ in rows:
+        n = sum(v == u and (s is None if t is None else s is not None and t - timedelta(seconds=60) <= s <= t) for _, v, s, _ in rows)
+        if n > 2:
+            want.add((i, n))
+    assert got == want and any(t is None for i, _, t, _ in rows if i in {x for x, _ in got})
+    spread = Counter((r.user, int((r.t - start).total_seconds()) // 60) for r in df.where("t is not null").collect())
+    assert max(spread.values()) < 0.1 * len(rows)
