@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,18 @@ def _appended(s, d):
     return s.read.parquet(path).groupBy("a").agg(F.count("*").alias("n"), F.sum("item").alias("total"))
 
 
+def _frozen(s, d):
+    """A table written once, a second time refused, and what is there then."""
+    path, p = new_path(s, "frozen"), B.preds(s, d).select("item", "a")
+    write_frozen(p, path)
+    try:
+        write_frozen(p.where("a = 'en'"), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return s.read.parquet(path).groupBy("a").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
 def _manifest(s, d):
     from convan.operators.threads import used_ids
 
@@ -119,6 +132,7 @@ QUERIES = {
     "read_ids_lenient": _ragged,
     "ids_from_text": lambda s, d: ids_from_text(B.table(s, d, "pages"), "html", 'href="([^"]+)"'),
     "append_checked": _appended,
+    "write_frozen": _frozen,
     "backfill_columns": lambda s, d: backfill_columns(B.preds(s, d).select("item", "a"), B.preds(s, d).select("item", "a", "b"), {"b": "old"}),
     "write_manifest": _manifest,
 }
@@ -129,6 +143,7 @@ ORACLE_SQL = {
     "read_predictions": f"WITH {B.SQL_PREDS} SELECT item, a AS label FROM preds",
     "read_ids_lenient": "SELECT o_orderkey::BIGINT AS id_0, CASE WHEN o_custkey % 3 > 0 THEN o_custkey::BIGINT ELSE -1 END AS id_1 FROM orders",
     "ids_from_text": "SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS id FROM pages",
+    "write_frozen": f"WITH {B.SQL_PREDS} SELECT a, count(*) AS n, true AS refused FROM preds GROUP BY a",
     "append_checked": f"WITH {B.SQL_PREDS}, u AS (SELECT item, a FROM preds UNION ALL SELECT item, b FROM preds) SELECT a, count(*) AS n, CAST(sum(item) AS BIGINT) AS total FROM u GROUP BY a",
     "backfill_columns": f"WITH {B.SQL_PREDS} SELECT item, a, 'old' AS b FROM preds UNION ALL SELECT item, a, b FROM preds",
     "write_manifest": "SELECT (SELECT count(DISTINCT doc_id) FROM documents) + (SELECT count(DISTINCT doc_id) FROM labels) AS total, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, (SELECT count(DISTINCT doc_id) FROM labels) AS labels",
