@@ -109,3 +109,9 @@ def test_groups(spark):
         assert [r.group for r in own] == list(range(want[doc][3])) and sum(len(r.links) for r in own) == want[doc][4]
         assert hashlib.sha256(";".join(f"{','.join(map(str, r.a_ids))}|{','.join(map(str, r.b_ids))}" for r in own).encode()).hexdigest() == want[doc][7]
         assert all({x.a for x in r.links} == set(range(len(r.a_ids))) and {x.b for x in r.links} == set(range(len(r.b_ids))) for r in own)
+
+
+def test_blocks_without_tokens(spark):
+    rows = [(1, None), (2, ""), (3, "▁")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, alignment.align(docs, A, B).collect())) == brute(rows) and alignment.groups(docs, A, B).count() == 0
