@@ -1,6 +1,7 @@
 """The operators of the llm subpackage on small fixtures: brute force, round trips, defined cases."""
 
 import bisect
+import hashlib
 import zlib
 from collections import Counter
 
@@ -23,6 +24,20 @@ def docs(spark):
     return spark.createDataFrame([(*r, "x", 1) for r in ROWS], "doc_id long, text string, score string, component_id int")
 
 
+def test_exact_dedup_rounds(spark):
+    """Any number of runs that meet in a round gives the same, with a text on a third of all rows, null and repeated ids."""
+    rows = [(i if i % 11 else None, "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"t{i % 50}")) for i in range(900)] + [(5, "t5")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups: dict[str, list] = {}
+    for i, text in rows:
+        groups.setdefault(text or "", []).append(i)
+    best = {x: max((i for i in ids if i is not None), default=None) for x, ids in groups.items()}
+    want = sorted(((i, best[x or ""], len(groups[x or ""]), i == best[x or ""], hashlib.sha256((x or "").encode()).hexdigest()) for i, x in rows), key=str)
+    for bits, ways in ((6, 3), (5, 2), (2, 4), (3, 1)):
+        got = exact_dedup.exact_dedup(df, keep="max", bits=bits, ways=ways).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got), key=str) == want, (bits, ways)
+
+
 def test_exact_dedup(docs):
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, keep="max").collect()}
     assert got == {(1, 3, 2, False), (3, 3, 2, True), (2, 2, 1, True), (4, 5, 2, False), (5, 5, 2, True), (6, 7, 2, False), (7, 7, 2, True), (8, 8, 1, True), (9, 9, 2, True)}
