@@ -83,16 +83,23 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality, op2_pieces, op3_licences, op4_toxicity, op5_shards, op6_warc, op7_near_dedup, op8_neighbours, op9_exact_dedup, op10_packing, op11_token_files, op12_alignment, op13_resample)}
 
 _text = lambda x: "'" + x.replace("'", "''") + "'"
-_known = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in licences.SENTENCES.items()) + "}"
-_rules = ", ".join("CASE WHEN " + " OR ".join(f"contains(' ' || ids || ' ', {_text(f' {" ".join(r)} ')})" for r in rules) + f" THEN {_text(name)} END" for name, rules in licences.RULES.items())
+_map = lambda entries: "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in entries.items()) + "}"
+_rules = ", ".join(f"{{'ids': {_text(f' {" ".join(rule)} ')}, 'name': {_text(name)}}}" for name, some in licences.RULES.items() for rule in some)
+_cuts = "translate(replace(lower(coalesce(text, '')), chr(13) || chr(10), chr(10)), chr(13) || '|/', chr(10) || '--')"
+for _found, _by in licences.CUTS:
+    _cuts = f"regexp_replace({_cuts}, {_text(_found)}, {_text(_by)}, 'g')"
 _digits = ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {10 * k + 1}, 10) AS BIGINT) >> {5 * (7 - j)}) & 31 AS INT) + 1, 1)" for k in range(4) for j in range(8))
 
 ORACLE_SQL = {
+    # Cuts are doubled, as RE2 has no look-around: each of two sentences that meet has its own.
     "op3_licences": f"""
-        WITH known AS (SELECT {_known} AS m),
-        parts AS (SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), {_text(licences.ENDS)}), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS p FROM documents),
-        found AS (SELECT doc_id, array_to_string(list_transform(list_filter(p, lambda s: map_contains(m, s)), lambda s: m[s]), ' ') AS ids FROM parts, known),
-        named AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids, concat_ws(',', {_rules}) AS licences FROM found)
+        WITH known AS (SELECT {_map(licences.SENTENCES | licences.TITLES)} AS m, {_map(licences.NAMES)} AS n, {_map(licences.SPDX)} AS tags, [{_rules}] AS rules),
+        cut AS (SELECT doc_id, lower(coalesce(text, '')) AS low, CASE WHEN regexp_matches(lower(coalesce(text, '')), {_text(licences.HINTS)}) THEN '||' || replace(replace(trim({_cuts}), '|', '||'), '/', '//') || '||' ELSE '' END AS t FROM documents),
+        found AS (SELECT doc_id, low, list_transform(regexp_extract_all(t, {_text(rf"[|/](?:(?:[0-9]{{1,2}}|[a-z]) )?({licences.whole_sentences('//')})[|/]")}, 1), lambda s: replace(s, '//', ' ')) AS s FROM cut),
+        tagged AS (SELECT doc_id, s, string_split_regex(array_to_string(CASE WHEN contains(low, 'spdx') THEN regexp_extract_all(low, {_text(licences.TAG)}, 1) ELSE [] END, ' '), '[() \\t]+') AS e FROM found),
+        ids AS (SELECT doc_id, array_to_string(list_concat(list_transform(s, lambda x: coalesce(m[x], n[regexp_extract(x, {_text(f"^{licences.REFERENCE}$")}, 1)])), list_transform(list_filter(e, lambda x: map_contains(tags, x)), lambda x: 'spdx:' || tags[x])), ' ') AS sentence_ids FROM tagged, known),
+        met AS (SELECT doc_id, sentence_ids, list_filter(rules, lambda r: contains(' ' || sentence_ids || ' ', r.ids)) AS r FROM ids, known),
+        named AS (SELECT doc_id, sentence_ids, array_to_string(list_transform(list_filter(r, lambda x, i: i = 1 OR r[i - 1].name <> x.name), lambda x: x.name), ',') AS licences FROM met)
         SELECT *, CASE WHEN licences = '' THEN 0 ELSE len(string_split(licences, ',')) END AS n_licences FROM named""",
     "op6_warc": f"""
         WITH heads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),

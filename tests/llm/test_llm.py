@@ -205,6 +205,50 @@ def test_licences_wrapped(spark):
     assert got == want | dict.fromkeys(("apart", "stop", "inside"), ("", ""))
 
 
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+LGPL = GPL.replace("program is", "library is").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+SAID = {
+    "mpl": (MPL, "MPL-2.0"), "isc": (ISC, "ISC"), "0bsd": (ISC.split(", provided")[0] + ".", "0BSD"), "lgpl": (LGPL, "LGPL-2.1"), "unlicense": ("// This is free and unencumbered\n// software released into the public domain.", "Unlicense"),
+    "project": ("This project is licensed under the terms of the MIT License, see the LICENSE file for details.", "MIT"), "epl": ("a) Made available under the Eclipse Public License v2.0", "EPL-2.0"), "agpl": ("x\nReleased under AGPLv3 or later!\ny", "AGPL-3.0"),
+    "cc": ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"), "apache": ('Licensed under the Apache License, Version 2.0 (the "License")', "Apache-2.0"), "title": ("# PostgreSQL License #", "PostgreSQL"),
+    "tag": ("/* SPDX-License-Identifier: MIT */", "MIT"), "tags": ("# SPDX-License-Identifier: (Apache-2.0 OR gpl-2.0-or-later) AND Unknown-1\n# spdx-license-identifier: ISC", "Apache-2.0,ISC,GPL-2.0"), "no tag": ("SPDX-License-Identifier: MITX", ""),
+    "two": ("Released under the ISC License.\nReleased under the ISC License. Licensed under the zlib license", "ISC,Zlib"), "inside": ("He said it was released under the ISC license once.", ""), "other": ("Released under the Foo License.", ""), "none": (None, ""), "empty": ("", ""),
+}
+
+
+def test_licences_named_and_in_sql(spark):
+    """References, texts, titles and tags, wrapped or not; the SQL finds the same, on the wrapped texts of the test before too."""
+    import duckdb
+
+    from convan.llm import queries
+
+    texts = {k: t for k, (t, _) in SAID.items()} | {f"{k} {sign}": "\n".join(f"{sign}{x}" for x in t.split("\n")) for k, t in (("MIT", MIT), ("BSD", BSD), ("GPL", GPL)) for sign in ("", " * ", "## ", "x")}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    rows = licences.scan(df).collect()
+    assert {r.doc_id: r.licences for r in rows if r.doc_id in SAID} == {k: name for k, (_, name) in SAID.items()}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {tuple(r) for r in rows} == set(con.sql(queries.ORACLE_SQL["op3_licences"]).fetchall())
+
+
+def test_licence_tables():
+    """Each sentence passes the filter, each identifier is in a rule, and each name is found in a reference around it."""
+    import re
+
+    known = licences.SENTENCES | licences.TITLES | licences.NAMES
+    assert [x for x in (*licences.SENTENCES, *licences.TITLES, *(f"released under {n}" for n in licences.NAMES)) if not re.search(licences.HINTS, x)] == []
+    used = {i for some in licences.RULES.values() for rule in some for i in rule}
+    assert set(known.values()) - used == {"mpl2-copy", "zlib-notice"} and len(known) == 494
+    assert [n for n in licences.NAMES if re.fullmatch(licences.REFERENCE, f"this project is released under the {n} see license for details")[1] != n] == []
+
+
 def test_licences_match_duckdb(spark):
     import duckdb
 
