@@ -23,9 +23,16 @@ def attach_parent(messages: DataFrame, brand: str) -> DataFrame:
 
 
 def stitch_replies(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """One row per key: its parts joined by a blank in order (nulls last), and how many there are."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).isNull().alias("none"), order, text)))
-    return parts.groupBy(key).agg(ordered.alias("parts")).select(key, F.array_join(F.col(f"parts.{text}"), " ").alias("reply"), F.size("parts").alias("n_parts"))
+    """One row per key: its parts joined by a blank in order (nulls last, ties by text), and how many there are. Null texts count, but add nothing.
+
+    Parts are dealt by ranges of key and order, so a key with many parts lies in many tasks. Each range joins its own parts of a
+    key; what meets by key has one row per range, and only its joined text is as long as all of them."""
+    dealt = parts.select(F.col(key).alias("_key"), F.col(order).isNull().alias("_none"), F.col(order).alias("_order"), F.col(text).alias("_text")).repartitionByRange("_key", "_none", "_order", "_text")
+    ordered = F.array_sort(F.collect_list(F.struct("_none", "_order", "_text")))["_text"]
+    ranges = dealt.groupBy("_key", F.spark_partition_id().alias("_range")).agg(ordered.alias("_texts"))
+    joined = ranges.select("_key", F.size("_texts").alias("_n"), F.struct("_range", F.when(F.exists("_texts", lambda x: x.isNotNull()), F.array_join("_texts", " ")).alias("_text")).alias("_piece"))
+    whole = joined.groupBy("_key").agg(F.array_sort(F.collect_list("_piece"))["_text"].alias("_texts"), F.sum("_n").cast("int").alias("n_parts"))
+    return whole.select(F.col("_key").alias(key), F.array_join("_texts", " ").alias("reply"), "n_parts")
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str], keep: str) -> DataFrame:

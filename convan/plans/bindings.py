@@ -11,7 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def msgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per message: msg_id, conv_id, turn, author, text, reply_to."""
+    """One row per message: msg_id, conv_id, turn, author, text, reply_to.
+
+    Ids hold turns below 1,000, so a conversation has no more messages than that, and its window stays small."""
     conv = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "conv_id", "turn", F.col("role").alias("author"), "text")
     return conv.withColumn("reply_to", F.lag("msg_id").over(Window.partitionBy("conv_id").orderBy("turn")))
 
