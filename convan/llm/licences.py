@@ -22,6 +22,7 @@ are read.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ for _name in set(SPDX.values()):
     RULES[_name] = [*RULES[_name], [f"spdx:{_name}"]]
 TAG = r"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]+)"
 #: Every known sentence holds one of these.
-HINTS = "licen|permi|copy|redistribut|neither|rights|free software|advertising|public domain|(?:ed|able) under|public license|source distribution"
+HINTS = ("licen", "permi", "copy", "redistribut", "neither", "rights", "free software", "advertising", "public domain", "ed under", "able under", "source distribution")
 # What _cut() replaces, in order: '|' where every sentence ends, '/' where one may go on.
 CUTS = (
     (r"\n[^a-z0-9\n]*\n", "|"),  # blank lines, or lines of comment signs
@@ -176,9 +177,9 @@ def whole_sentences(cut: str = "/") -> str:
     return f"{'|'.join(map(over, known))}|{reference}"
 
 
-def _cut(text):
-    """The normalised text with '|' where every sentence ends and '/' where one may go on, and one of them at each end."""
-    t = F.translate(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), "\r|/", "\n--")
+def _cut(low):
+    """The normalised text, of one in lower case, with '|' where every sentence ends and '/' where one may go on, and one of them at each end."""
+    t = F.translate(F.replace(low, F.lit("\r\n"), F.lit("\n")), "\r|/", "\n--")
     for found, by in CUTS:
         t = F.regexp_replace(t, found, by)
     return F.concat(F.lit("|"), F.trim(t), F.lit("|"))
@@ -190,7 +191,9 @@ def _map(entries: dict[str, str]):
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, sentence_ids (joined by blanks, in order, then tags), licences (joined by commas), n_licences."""
-    places = F.regexp_extract_all(_cut(F.col(text_col)), F.lit(rf"(?<=[|/])(?:(?:[0-9]{{1,2}}|[a-z]) )?({whole_sentences()})(?=[|/])"), 1)
+    base, low = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_low")), F.col("_low")
+    places = F.regexp_extract_all(_cut(low), F.lit(rf"(?<=[|/])(?:(?:[0-9]{{1,2}}|[a-z]) )?({whole_sentences()})(?=[|/])"), 1)
+    hinted = reduce(lambda x, y: x | y, (F.contains(low, F.lit(h)) for h in HINTS))
     none = F.array().cast("array<string>")
     known, names, tags = _map(SENTENCES | TITLES), _map(NAMES), _map(SPDX)
 
@@ -198,12 +201,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         said = F.translate(found, "/", " ")
         return F.coalesce(F.try_element_at(known, said), F.try_element_at(names, F.regexp_extract(said, f"^{REFERENCE}$", 1)))
 
-    sentences = F.transform(F.when(F.lower(text_col).rlike(HINTS), places).otherwise(none), identifier)
-    low = F.lower(text_col)
+    sentences = F.transform(F.when(hinted, places).otherwise(none), identifier)
     expressions = F.when(F.contains(low, F.lit("spdx-license-identifier:")), F.regexp_extract_all(low, F.lit(TAG), 1)).otherwise(none)
     tagged = F.filter(F.transform(F.split(F.concat_ws(" ", expressions), r"[() \t]+"), lambda x: F.try_element_at(tags, x)), lambda x: x.isNotNull())
     ids = F.array_join(F.concat(sentences, F.transform(tagged, lambda x: F.concat(F.lit("spdx:"), x))), " ")
-    out = docs.select(F.col(id_col), ids.alias("sentence_ids"))
+    out = base.select(F.col("_id").alias(id_col), ids.alias("sentence_ids"))
     rules = F.array(*(F.struct(F.lit(f" {' '.join(rule)} ").alias("ids"), F.lit(name).alias("name")) for name, some in RULES.items() for rule in some))
     spaced = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     met = F.array_distinct(F.filter(rules, lambda r: F.contains(spaced, r["ids"]))["name"])

@@ -94,7 +94,7 @@ ORACLE_SQL = {
     # Cuts are doubled, as RE2 has no look-around: each of two sentences that meet has its own.
     "op3_licences": f"""
         WITH known AS (SELECT {_map(licences.SENTENCES | licences.TITLES)} AS m, {_map(licences.NAMES)} AS n, {_map(licences.SPDX)} AS tags, [{_rules}] AS rules),
-        cut AS (SELECT doc_id, lower(coalesce(text, '')) AS low, CASE WHEN regexp_matches(lower(coalesce(text, '')), {_text(licences.HINTS)}) THEN '||' || replace(replace(trim({_cuts}), '|', '||'), '/', '//') || '||' ELSE '' END AS t FROM documents),
+        cut AS (SELECT doc_id, lower(coalesce(text, '')) AS low, CASE WHEN regexp_matches(lower(coalesce(text, '')), {_text('|'.join(licences.HINTS))}) THEN '||' || replace(replace(trim({_cuts}), '|', '||'), '/', '//') || '||' ELSE '' END AS t FROM documents),
         found AS (SELECT doc_id, low, list_transform(regexp_extract_all(t, {_text(rf"[|/](?:(?:[0-9]{{1,2}}|[a-z]) )?({licences.whole_sentences('//')})[|/]")}, 1), lambda s: replace(s, '//', ' ')) AS s FROM cut),
         tagged AS (SELECT doc_id, s, string_split_regex(array_to_string(CASE WHEN contains(low, 'spdx') THEN regexp_extract_all(low, {_text(licences.TAG)}, 1) ELSE [] END, ' '), '[() \\t]+') AS e FROM found),
         ids AS (SELECT doc_id, array_to_string(list_concat(list_transform(s, lambda x: coalesce(m[x], n[regexp_extract(x, {_text(f"^{licences.REFERENCE}$")}, 1)])), list_transform(list_filter(e, lambda x: map_contains(tags, x)), lambda x: 'spdx:' || tags[x])), ' ') AS sentence_ids FROM tagged, known),
