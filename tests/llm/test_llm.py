@@ -288,16 +288,42 @@ def test_classifiers_held_out(spark):
 
 def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 1 << 16)
-    monkeypatch.setattr(warc, "CLASSES", (1 << 10, 1 << 13, 1 << 16))
     text = {i: f"{i} " + "x" * (20 if i % 3 == 0 else 5_000 if i % 3 == 1 else 70_000) for i in range(60)}
     path = f"file://{tmp_path}/archives"
     warc.write_archives(spark.createDataFrame([(i, None, t) for i, t in text.items()], "page_id long, url string, html string").coalesce(1), path)
     assert {r.id: bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()} == text
-    for f in (tmp_path / "archives").glob("*.gz"):
+    files = list((tmp_path / "archives").glob("part-*"))
+    for f in files:
         import gzip
 
         sizes = [len(p) for _, p in warc.parse(gzip.decompress(f.read_bytes()))]
         assert len(sizes) == 1 or sum(sizes) <= 1 << 16
+    assert len(files) >= 22
+
+
+def test_archives_follow_the_format(spark, tmp_path):
+    """A gzip member a record, warcinfo first, HTTP messages; null and repeated ids, empty payloads, no rows."""
+    import gzip
+
+    pages = [(1, "u", "é\r\n\r\n"), (1, "u", "é\r\n\r\n"), (None, "v", "é\r\n\r\n"), (None, None, "alone"), (3, "a b", None), (4, "x", "")]
+    schema, path = "page_id long, url string, html string, payload int", f"file://{tmp_path}/a"
+    warc.write_archives(spark.createDataFrame([(*p, 0) for p in pages], schema), path)
+    records, types = [], []
+    for f in (tmp_path / "a").glob("part-*"):
+        members = list(warc.members(f.read_bytes()))
+        assert b"".join(members) == gzip.decompress(f.read_bytes())
+        types += [m.split(b"\r\n")[1].decode() for m in members[:1]]
+        assert all(len(list(warc.parse(m))) == 1 for m in members[1:])
+        records += [(h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Target-URI"], p.decode()) for m in members[1:] for h, p in warc.parse(m)]
+        assert all(h["Content-Type"].startswith("application/http") and b"\r\n\r\nHTTP/1.1 200 OK\r\n" in m for m in members[1:] for h, _ in warc.parse(m))
+    assert set(types) == {"WARC-Type: warcinfo"}
+    one = ("response", "<urn:page:1>", None, "u", "é\r\n\r\n")
+    want = [one, one, ("revisit", "<urn:page:null>", "<urn:page:1>", "v", ""), ("response", "<urn:page:null>", None, "", "alone"), ("revisit", "<urn:page:3>", "<urn:page:4>", "a%20b", ""), ("response", "<urn:page:4>", None, "x", "")]
+    assert sorted(records, key=str) == sorted(want, key=str)
+    got = warc.resolved(warc.read_archives(spark, path)).collect()
+    assert sorted([(r.id, r.bytes, r.record_type, r.refers_to) for r in got], key=str) == sorted([(1, 6, "response", None), (1, 6, "response", None), (None, 6, "revisit", 1), (None, 5, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None)], key=str)
+    warc.write_archives(spark.createDataFrame([], schema), path + "0")
+    assert warc.resolved(warc.read_archives(spark, path + "0")).count() == 0
 
 
 def test_shards_are_even_over_many_levels_of_cells(spark, monkeypatch):
