@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The words of a batch (a run of blanks and what follows it; no piece spans two) are concatenated, each once, and indexed
-by a suffix array: rank doubling up to the longest piece's length. Every piece is looked up by binary search, all pieces
+by a suffix array: suffixes are sorted by their letters, as many as the longest piece has. Every piece is looked up by binary search, all pieces
 at a time, which gives the range of suffixes that begin with it, hence an edge (start, end, piece) for each occurrence.
 The edges are sorted by their end and relaxed from left to right, all words of the batch at a time.
 
