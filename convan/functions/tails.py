@@ -9,10 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+EXACT = 1_000  # coins up to which the tail is a quotient of whole numbers
+
+
 def binomial_tail(k: int, n: int) -> float:
-    """The two-sided exact p of k of n fair coins, k at most n / 2: terms from k down until they no longer count."""
+    """The two-sided exact p of k of n fair coins, k at most n / 2: terms from k down until they no longer count.
+
+    Of few coins p may lie just halfway between two numbers of six digits (9 / 128), so there the quotient is exact."""
     if n == 0:
         return 1.0
+    if n <= EXACT:
+        return min(1.0, sum(math.comb(n, i) for i in range(k + 1)) / 2 ** (n - 1))
     ratio, total, i = 1.0, 1.0, k
     while i > 0 and ratio > total * 1e-17:
         ratio *= i / (n - i + 1)
