@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convan.functions.scratch import saved
 from convan.functions.tails import mcnemar_p
 from convan.operators.judging import _EV, _evals
 from convan.operators.review import auroc
@@ -118,9 +119,23 @@ def paired_deltas(df: DataFrame, item: str, a: Column, b: Column, metrics: list[
 
 
 def noise_floor(df: DataFrame, item: str, sides: dict[str, tuple[Column, Column]], metrics: list[str], reps: int = REPS, seed: int = 19) -> DataFrame:
-    """paired_deltas of several pairs of sides beside each other: a change to be judged, and runs that differ by chance alone."""
-    tables = (paired_deltas(df, item, a, b, metrics, reps, seed).select(F.lit(name).alias("pair"), "metric", "n", "difference", "low", "high", "star") for name, (a, b) in sides.items())
-    return functools.reduce(DataFrame.unionByName, tables)
+    """What paired_deltas says of several pairs of sides, beside each other: a change to be judged, and runs that differ by chance alone.
+
+    Items' differences of all pairs are taken and written once, and all intervals come from one pass of draws; an item that a
+    pair lacks has no weight in that pair's means."""
+    side = lambda c, m: F.avg(F.when(c, F.col(m).cast("double")))
+    names = [f"p{i}" for i in range(len(sides))]
+    d = df.where(F.col(item).isNotNull()).groupBy(item).agg(*((side(b, m) - side(a, m)).alias(f"{p}_{m}") for p, (a, b) in zip(names, sides.values(), strict=True) for m in metrics))
+    has = {p: functools.reduce(Column.__and__, (F.col(f"{p}_{m}").isNotNull() for m in metrics)) for p in names}
+    held = saved(d.select(item, *(has[p].cast("int").alias(p) for p in names), *(F.when(has[p], F.col(f"{p}_{m}")).alias(f"{p}_{m}") for p in names for m in metrics)), "deltas")
+    facts = held.agg(*(F.coalesce(F.sum(p), F.lit(0)).alias(f"n_{p}") for p in names), *(F.sum(f"{p}_{m}").alias(f"sum_{p}_{m}") for p in names for m in metrics))
+    dealt = held.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, item)  # few bytes an item, but many draws
+    sums = replicate_sums(dealt, item, [*names, *(f"{p}_{m}" for p in names for m in metrics)], reps, seed)
+    mean = lambda p, m: F.col(f"{p}_{m}") / F.nullif(F.col(p), F.lit(0.0))
+    interval = sums.agg(*(F.round(F.percentile(mean(p, m), x), 6).alias(f"{end}_{p}_{m}") for p in names for m in metrics for end, x in (("low", 0.025), ("high", 0.975))))
+    rows = F.array(*(F.struct(F.lit(name).alias("pair"), F.lit(m).alias("metric"), F.col(f"n_{p}").alias("n"), F.col(f"sum_{p}_{m}").alias("sum"), F.col(f"low_{p}_{m}").alias("low"), F.col(f"high_{p}_{m}").alias("high")) for p, name in zip(names, sides, strict=True) for m in metrics))
+    long = facts.crossJoin(F.broadcast(interval)).select(F.inline(rows))  # one row each
+    return long.select("pair", "metric", "n", F.round(F.col("sum") / F.nullif(F.col("n"), F.lit(0)), 6).alias("difference"), "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("star"))
 
 
 def auroc_interval(df: DataFrame, key: str, truth: str, score: str, reps: int = 2_000, seed: int = 23) -> DataFrame:

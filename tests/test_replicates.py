@@ -108,3 +108,15 @@ def test_auroc_of_one_class_or_none(spark):
     for rows in ([], [(1, True, 0.5), (2, True, 0.7)]):
         r = R.auroc_interval(spark.createDataFrame(rows, "k long, y boolean, s double"), "k", "y", "s", reps=20).first()
         assert (r.auroc, r.low, r.high) == (None, None, None)
+
+
+def test_noise_floor_draws_once(spark, monkeypatch):
+    """As paired_deltas of each pair by itself, with items that a pair lacks, in one pass of draws."""
+    rows = [(i, s, float((i * 7 + j) % 5)) for i in range(40) for j, s in enumerate("abc") if (i + j) % 6] + [(None, "a", 1.0), (50, "a", None)]
+    df = spark.createDataFrame(rows, "item long, side string, m double")
+    sides = {"x": (F.col("side") == "a", F.col("side") == "b"), "y": (F.col("side") == "a", F.col("side") == "c"), "none": (F.col("side") == "a", F.col("side") == "z")}
+    want = [(n, *r) for n, (a, b) in sides.items() for r in R.paired_deltas(df, "item", a, b, ["m"], 200).select("metric", "n", "difference", "low", "high", "star").collect()]
+    calls, sums = [], R.replicate_sums
+    monkeypatch.setattr(R, "replicate_sums", lambda *a, **k: calls.append(1) or sums(*a, **k))
+    got = R.noise_floor(df, "item", sides, ["m"], 200)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(calls) == 1
