@@ -56,3 +56,18 @@ def test_each_problem(spark, tables, rows, labels, want):
     if not want and rows:
         assert check(items.withColumn("eval_index", items.eval_index * 1 + 0), clean.replace("ok", "changed")) == [("drift", "documents")]
         assert check(spark.createDataFrame([(9, 1), (8, 2)], "k long, eval_index int"), clean) == [("set_changed", None)]
+
+
+def test_contaminated_reads_texts_once(spark):
+    """One pass over the texts, long ones, short ones and blank ones; windows at every place of a text over several blocks."""
+    from convan.operators.text import contaminated
+
+    quote = "a quoted passage of more than forty letters in all"
+    filler = " ".join(f"word{i}" for i in range(300))
+    rows = [(0, None), (1, " "), (2, "Short, one"), (3, "other short"), (4, filler)] + [(10 + i, filler[: i * 37] + " zz " + quote + " zz " + filler) for i in range(30)]
+    refs = spark.createDataFrame([(1, quote), (2, "short one"), (3, None)], "ref long, text string")
+    df = spark.createDataFrame(rows, "doc long, text string")
+    out = contaminated(df, refs, "doc", "ref", "text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("doc#" in line and "Relation" in line or "LogicalRDD [doc#" in line for line in plan.splitlines()) == 1
+    assert {(r.doc, r.hits) for r in out.collect()} == {(2, 1)} | {(10 + i, len(quote) - 39) for i in range(30)}
