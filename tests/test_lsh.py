@@ -68,3 +68,24 @@ def test_defined_cases(spark):
     df = spark.createDataFrame(rows, "id long, v array<float>, bucket string")
     got = lsh.vector_top_k_lsh(df.where("id = 1"), df, "id", "v", 5, target=0.999)
     assert [(r.doc_id, r["rank"]) for r in got.orderBy("rank").collect()] == [(3, 1), (2, 2)]
+
+
+def test_a_block_is_met_in_strips():
+    """Similarities of a whole block of queries are never held at once; a strip's border changes nothing."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from convan.operators.vectors import block_top_k
+
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(2000, 8))
+    left, right = pd.DataFrame({"query_id": range(2000), "q": list(rows)}), pd.DataFrame({"doc_id": range(2000), "c": list(rows)})
+    tracemalloc.start()
+    got = block_top_k(2)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2000 * 2000 * 8
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    sims = unit @ unit.T - 3 * np.eye(2000)
+    assert len(got) == 4000 and (got["doc_id"].to_numpy().reshape(-1, 2)[:, 0] == sims.argmax(1)).all()
