@@ -9,10 +9,10 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convan.functions.scratch import saved
@@ -22,6 +22,7 @@ from convan.plans import bindings as B
 
 FEATURES = 1 << 16  # hash buckets of terms: bounds the model and what a task sums, whatever the vocabulary
 LEAST_ROWS = 10
+SIDE_BY_SIDE = 2  # fits at a time
 LEAST_DOCS = 2  # documents that a term (its bucket) must be in
 
 
@@ -32,24 +33,30 @@ def _regression() -> LogisticRegression:
 def fit_text_classifier(df: DataFrame, text: str, label: str, features: int = FEATURES) -> PipelineModel:
     """A logistic regression over TF-IDF weights of 1- and 2-grams, each class with the same total weight.
 
+    Texts are tokenised and hashed once, where they are read, into a table that all passes read; no text is dealt by its label.
     Rows without a text or label take no part; fewer than LEAST_ROWS rows raise ValueError. A sole class is always predicted."""
     rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("_text"), F.col(label).cast("string").alias("_label"))
-    counts = rows.groupBy("_label").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))  # one row
-    if (total.first()["_all"] or 0) < LEAST_ROWS:
+    counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # a row for each class
+    total = sum(counts.values())
+    if total < LEAST_ROWS:
         raise ValueError(f"a text classifier needs at least {LEAST_ROWS} rows")
-    weights = counts.crossJoin(F.broadcast(total)).select("_label", (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("_weight"))
-    rows = saved(rows.join(weights.hint("shuffle_hash"), "_label"), "labelled")
-    index = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(rows)
-    stages = [
-        *_tokens(),
-        HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_idf", minDocFreq=LEAST_DOCS),
-        Normalizer(inputCol="_idf", outputCol="_features"),
-        _regression(),
-        IndexToString(inputCol="_predicted", outputCol="predicted", labels=index.labels),
-    ]
-    return Pipeline(stages=stages).fit(index.transform(rows))
+    front = Pipeline(stages=[*_tokens(), HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=features)]).fit(rows)
+    table = saved(front.transform(rows).select("_label", "_tf"), "hashed")
+    labels = sorted(counts)
+    idf = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=LEAST_DOCS).fit(_merged(table))
+    scaled = PipelineModel(stages=[idf, Normalizer(inputCol="_idf", outputCol="_features")])
+    weights = {x: total / (len(labels) * counts[x]) for x in labels}
+    ready = scaled.transform(_merged(table)).select("_features", _by_label({x: i for i, x in enumerate(labels)}).alias("_index"), _by_label(weights).alias("_weight"))
+    return PipelineModel(stages=[*front.stages, *scaled.stages, _regression().fit(ready), IndexToString(inputCol="_predicted", outputCol="predicted", labels=labels)])
+
+
+def _by_label(of: dict[str, float]) -> Column:
+    return F.create_map(*(F.lit(v) for x in of for v in (x, float(of[x]))))[F.col("_label")]
+
+
+def _merged(table: DataFrame) -> DataFrame:
+    """The same rows in as many tasks as run at once: each sends a gradient, features x classes numbers, in every step of a fit."""
+    return table.coalesce(table.sparkSession.sparkContext.defaultParallelism)
 
 
 def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
@@ -71,7 +78,7 @@ def out_of_fold(df: DataFrame, id_col: str, text: str, label: str, most: int = 5
     """id_col, label, fold and predicted: each row's prediction by the model of all other folds.
 
     Texts are tokenised and hashed once, into one table. Document frequencies and class sizes are taken by fold; those that a
-    fold's model may see are the total less its own, `features` numbers a fold. Models are fitted side by side. Folds are
+    fold's model may see are the total less its own, `features` numbers a fold. SIDE_BY_SIDE models are fitted at a time. Folds are
     stratified; there are as many as the smallest class has rows, at most `most`, and at least two are needed."""
     spark = df.sparkSession
     rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(id_col, text, label)
@@ -92,14 +99,13 @@ def out_of_fold(df: DataFrame, id_col: str, text: str, label: str, most: int = 5
         left = {x: every[x] - sizes[fold].get(x, 0) for x in labels}
         known, n = total - seen[fold], sum(left.values())
         idf = np.where(known >= LEAST_DOCS, np.log((n + 1) / (known + 1)), 0.0)
-        codes = {x: float(i) for i, x in enumerate(labels)}
-        pairs = lambda of: F.create_map(*(F.lit(v) for x in labels for v in (x, float(of[x]))))
-        scaled = PipelineModel(stages=[ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_features")]).transform(table)
-        scaled = scaled.withColumn("_index", pairs(codes)[F.col("_label")]).withColumn("_weight", pairs({x: n / (len(labels) * max(left[x], 1)) for x in labels})[F.col("_label")])
+        codes = {x: i for i, x in enumerate(labels)}
+        scaled = PipelineModel(stages=[ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_features")]).transform(_merged(table))
+        scaled = scaled.withColumn("_index", _by_label(codes)).withColumn("_weight", _by_label({x: n / (len(labels) * max(left[x], 1)) for x in labels}))
         model = _regression().fit(scaled.where(F.col("fold") != fold).select("_features", "_index", "_weight"))
         return IndexToString(inputCol="_predicted", outputCol="predicted", labels=labels).transform(model.transform(scaled.where(F.col("fold") == fold)))
 
-    with ThreadPool(len(sizes)) as pool:  # fits wait for each other's stages no more than they must
+    with ThreadPool(SIDE_BY_SIDE) as pool:  # one's tasks fill the gaps of the other; each holds its rows in memory
         parts = pool.map(inheritable_thread_target(spark)(one), sorted(sizes))
     out = functools.reduce(DataFrame.unionByName, (p.select("_id", "_label", "fold", "predicted") for p in parts))
     return out.select(F.col("_id").alias(id_col), F.col("_label").alias(label), "fold", "predicted")

@@ -271,3 +271,31 @@ def test_quota_of_a_hot_key_is_dealt_by_time(spark):
     assert got == want and any(t is None for i, _, t, _ in rows if i in {x for x, _ in got})
     spread = Counter((r.user, int((r.t - start).total_seconds()) // 60) for r in df.where("t is not null").collect())
     assert max(spread.values()) < 0.1 * len(rows)
+
+
+def test_steps_of_a_fit_have_few_tasks(spark):
+    """A table of 24 files: only what reads it once has a task for each, not the steps of the fits, whose tasks send a gradient each."""
+    from convan.operators.models import fit_text_classifier, out_of_fold, predict
+
+    names = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k", "spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    sc = spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def wide() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sum(s.numTasks() > 8 and "treeAggregate" in s.name() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(None, False, False, none, None)))
+
+    try:
+        rows = [(i, f"{'ab cd ef' if i % 3 else 'gh ij kl'} w{i % 7} w{i % 11}", "xy"[i % 3 > 0]) for i in range(240)]
+        df = spark.createDataFrame(rows, "id long, text string, label string").repartition(24)
+        before = wide()
+        out = out_of_fold(df, "id", "text", "label", features=256).collect()
+        assert len(out) == 240 and all(r.label == r.predicted for r in out)
+        assert all(r.label == r.predicted for r in predict(fit_text_classifier(df, "text", "label", features=256), df, "text").collect())
+        assert wide() == before
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
