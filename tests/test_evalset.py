@@ -71,3 +71,26 @@ def test_contaminated_reads_texts_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert sum("doc#" in line and "Relation" in line or "LogicalRDD [doc#" in line for line in plan.splitlines()) == 1
     assert {(r.doc, r.hits) for r in out.collect()} == {(2, 1)} | {(10 + i, len(quote) - 39) for i in range(30)}
+
+
+@pytest.mark.parametrize(
+    "rows, labels, changed, want",
+    [
+        ([(8, 1), (9, 2)], [(8, 1)], False, []),
+        ([(1, 1), (5, 2)], [], False, [("leak", "1"), ("quoted", "5")]),
+        ([(6, 1), (7, 2)], [], True, [("drift", "documents"), ("repeated_text", "6"), ("repeated_text", "7"), ("set_changed", None)]),
+        ([(8, 1), (8, 3)], [], False, [("index_gap", None), ("repeated_id", "8")]),
+        ([(8, 1), (9, 2), (6, 3)], [(6, 1), (6, 1), (9, 1), (8, 0), (77, None)], False, [("label_beyond", "6"), ("label_of_other_set", "77"), ("label_of_other_set", "8"), ("label_outside", "77")]),
+    ],
+)
+def test_verify_eval_set_takes_every_step(spark, tables, rows, labels, changed, want):
+    """Of a set of which two items are scored; a label is for this set (1), an older one (0), or doesn't say (null)."""
+    from convan.operators.judging import verify_eval_set
+
+    pool, used, refs = tables
+    items, drift = spark.createDataFrame(rows, "k long, eval_index int"), spark.createDataFrame([("documents", "changed" if changed else "ok")], "name string, state string")
+    pinned = E.table_pins({"set": (items.limit(1) if changed else items, ["k", "eval_index"])})
+    own = pinned.first()["xor"]
+    marks = spark.createDataFrame([(k, {1: own, 0: "0" * 16}.get(x)) for k, x in labels], "k long, set_hash string")
+    got = verify_eval_set(items, pool, used, refs, marks, drift, pinned, "k", "r", "t", 2).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
